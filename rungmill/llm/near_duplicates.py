@@ -8,7 +8,7 @@ lengthens its prefix and demands that m words match together.
 The demand is made before candidates arise: a join key is a combination of m prefix words, so a key shared is m words shared. The
 longer record of a pair probes with keys of its own m; the shorter one offers keys for every m. Frequencies, the number of
 offers of a key and the set of probed keys are held in sketches of fixed size (parameters below); their collisions cost
-candidates, never pairs. Records that would offer too many combinations offer single words under a key of their own, which the
+candidates, never pairs. A bitmap of each word set goes with its keys and rules out most candidates within the join. Records that would offer too many combinations offer single words under a key of their own, which the
 longer records that chose a larger m probe as well, so nothing is capped.
 
 Records of one word set are one class with one representative: copies do not multiply the join. Candidates are verified on the
@@ -17,7 +17,6 @@ whole sets. Words are compared as 64-bit hashes.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -28,15 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungmill.functions.text import words
+from rungmill.llm.sketches import as_lists, gather, lists, mix
 from rungmill.plans.staging import Staging
 
 WORD_COUNTERS = 1 << 22
 KEY_COUNTERS = 1 << 22
 PROBE_BITS = 1 << 26
-MOST_WORDS = 4  # the largest m
+MOST_WORDS = 3  # the largest m
 MOST_OFFERS = 1024  # combinations of one m that a record offers; beyond, single words under a key of their own
-VERIFY_COST = 4.0  # a candidate's verification against a joined row
-CHUNKS = 64
+KEY_COST = 10.0  # a probed key, made and shuffled, against a row that a key meets in the join
 _BIT_SHIFT = np.uint64(64 - (PROBE_BITS.bit_length() - 1))
 
 
@@ -59,54 +58,6 @@ class Similarity:
         return np.maximum(1, -((-self.num * n) // self.den))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values, lengths) of a list column."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    offsets = column.offsets.to_numpy(zero_copy_only=False)
-    return column.flatten().to_numpy(zero_copy_only=False), np.diff(offsets)
-
-
-def _as_lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
-
-
-def _emit_counts(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for k, part in enumerate(np.split(counts, CHUNKS)):
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["chunk", "body"])
-
-
-def _gather(df: DataFrame, count, size: int, dtype, finish, merge=np.add) -> np.ndarray:
-    """An array of fixed size, merged over all partitions. count: batches -> array of one partition; finish: one merged chunk -> what the driver keeps."""
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _emit_counts(count(batches))
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(size // CHUNKS, np.uint64)
-        for body in table.column("body"):
-            total = merge(total, np.frombuffer(zlib.decompress(body.as_py()), dtype).astype(np.uint64))
-        return pa.table({"chunk": table.column("chunk")[:1], "body": pa.array([zlib.compress(finish(total).tobytes(), 1)], pa.binary())})
-
-    done = df.mapInArrow(part, "chunk int, body binary").groupBy("chunk").applyInArrow(add, "chunk int, body binary").collect()
-    kind = finish(np.zeros(1, np.uint64)).dtype
-    out = np.zeros(size, kind)
-    for chunk, body in done:
-        out[chunk * (size // CHUNKS) : (chunk + 1) * (size // CHUNKS)] = np.frombuffer(zlib.decompress(bytes(body)), kind)
-    return out
-
-
 def _rank(counts: np.ndarray) -> np.ndarray:
     """Counts in 16 bits: exact below 2^15, then by their logarithm; the order is kept."""
     big = 32768 + 1024 * np.log2(np.maximum(counts, 32768) / 32768)
@@ -116,7 +67,7 @@ def _rank(counts: np.ndarray) -> np.ndarray:
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     counts = np.zeros(WORD_COUNTERS, np.uint32)
     for batch in batches:
-        values, _ = _lists(batch.column("words"))
+        values, _ = lists(batch.column("words"))
         np.add.at(counts, values.view(np.uint64) & np.uint64(WORD_COUNTERS - 1), 1)
     return counts
 
@@ -127,7 +78,7 @@ def _prefixes(ranks, sim: Similarity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = ranks.value
         for batch in batches:
-            values, n = _lists(batch.column("words"))
+            values, n = lists(batch.column("words"))
             n = n.astype(np.int64)
             doc = np.repeat(np.arange(len(n)), n)
             rank = rank_of[values.view(np.uint64) & np.uint64(WORD_COUNTERS - 1)]
@@ -136,9 +87,12 @@ def _prefixes(ranks, sim: Similarity):
             place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
             keep = (place < np.repeat(sim.probe_length(n, MOST_WORDS), n)) & (rank > 1)
             kept = np.bincount(doc[keep], minlength=len(n))
+            bit = mix(values.view(np.uint64)) >> np.uint64(57)
+            one = np.uint64(1) << (bit & np.uint64(63))
+            half = [np.bitwise_or.reduceat(np.where((bit >> np.uint64(6)) == h, one, np.uint64(0)), np.cumsum(n) - n).view(np.int64) for h in (0, 1)]
             names = ["tbl", "id", "sig0", "sig1"]
-            columns = [batch.column(c) for c in names] + [pa.array(n, pa.int32()), _as_lists(values[keep], kept, pa.int64()), _as_lists(place[keep].astype(np.int32), kept, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n", "prefix", "places"])
+            columns = [batch.column(c) for c in names] + [pa.array(n, pa.int32()), pa.array(half[0]), pa.array(half[1]), as_lists(values[keep], kept, pa.int64()), as_lists(place[keep].astype(np.int32), kept, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "n", "bits0", "bits1", "prefix", "places"])
 
     return run
 
@@ -164,7 +118,7 @@ def _keys(starts: np.ndarray, tokens: np.ndarray, usable: np.ndarray, m: int, mo
             sub = matrix[chunk : chunk + max(1, 200_000 // comb(k, m))]
             at = np.array(list(combinations(range(k), m)))
             total = sub[:, at].sum(axis=2, dtype=np.uint64) if m > 1 else sub
-            keys_out.append(_mix(total + np.uint64(m)).ravel())
+            keys_out.append(mix(total + np.uint64(m)).ravel())
             rows_out.append(np.repeat(part := rows[chunk : chunk + len(sub)], len(at)))
             if own is not None:
                 mine.append((at.max(axis=1)[None, :] < own[part][:, None]).ravel())
@@ -176,10 +130,10 @@ def _keys(starts: np.ndarray, tokens: np.ndarray, usable: np.ndarray, m: int, mo
 def _read(batch: pa.RecordBatch):
     """(sizes, starts, mixed words, usable(limit)) of a batch of representatives."""
     n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-    values, lengths = _lists(batch.column("prefix"))
-    places, _ = _lists(batch.column("places"))
+    values, lengths = lists(batch.column("prefix"))
+    places, _ = lists(batch.column("places"))
     tbl = np.repeat(batch.column("tbl").to_numpy(zero_copy_only=False).astype(np.uint64), lengths)
-    tokens = _mix(values.view(np.uint64) + tbl * np.uint64(0xD6E8FEB86659FD93))
+    tokens = mix(values.view(np.uint64) + tbl * np.uint64(0xD6E8FEB86659FD93))
     ends = np.cumsum(lengths)
     row = np.repeat(np.arange(len(n)), lengths)
 
@@ -203,7 +157,7 @@ def _offers(batch: pa.RecordBatch, sim: Similarity) -> tuple[np.ndarray, np.ndar
         only = np.zeros_like(single)
         only[many] = single[many]
         r, k, *_ = _keys(starts, tokens, only, 1, None)
-        rows.append(r), keys.append(_mix(k ^ _OWN))
+        rows.append(r), keys.append(mix(k ^ _OWN))
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -226,7 +180,7 @@ def _probes(batch: pa.RecordBatch, sim: Similarity, offered: np.ndarray) -> tupl
     for m in range(1, MOST_WORDS + 1):
         rows, keys, heavy, mine = _keys(starts, tokens, usable(sim.probe_length(n, m)), m, MOST_OFFERS if m > 1 else None, usable(sim.offer_length(n, m)))
         met = offered[keys & np.uint64(KEY_COUNTERS - 1)].astype(np.float64) - mine
-        cost = np.bincount(rows, met, minlength=len(n)) * (1 + VERIFY_COST) + np.bincount(rows, minlength=len(n)) * 0.5
+        cost = np.bincount(rows, met, minlength=len(n)) + np.bincount(rows, met > 0, minlength=len(n)) * KEY_COST
         cost[(sim.most_words(n) < m)] = np.inf
         cost[heavy] = np.inf
         better = cost < best
@@ -245,7 +199,7 @@ def _probes(batch: pa.RecordBatch, sim: Similarity, offered: np.ndarray) -> tupl
         only = np.zeros_like(single)
         only[ask] = single[ask]
         r, k, *_ = _keys(starts, tokens, only, 1, None)
-        k = _mix(k ^ _OWN)
+        k = mix(k ^ _OWN)
         met = offered[k & np.uint64(KEY_COUNTERS - 1)] > 0
         rows.append(r[met]), keys.append(k[met])
     return np.concatenate(rows), np.concatenate(keys)
@@ -255,7 +209,7 @@ def _probe_rows(sim: Similarity, offered):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, keys = _probes(batch, sim, offered.value)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(rows)) for c in ("id", "n"))], ["key", "long_id", "n_long"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(rows)) for c in ("id", "n", "bits0", "bits1"))], ["key", "long_id", "n_long", "long0", "long1"])
 
     return run
 
@@ -268,20 +222,16 @@ def _offer_rows(sim: Similarity, asked):
             at = keys >> _BIT_SHIFT
             hit = (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
             rows, keys = rows[hit], keys[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(rows)) for c in ("tbl", "id", "n"))], ["key", "tbl", "short_id", "n_short"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(rows)) for c in ("tbl", "id", "n", "bits0", "bits1"))], ["key", "tbl", "short_id", "n_short", "short0", "short1"])
 
     return run
 
 
-def _asked(sim: Similarity, offered):
-    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        bits = np.zeros(PROBE_BITS, bool)
-        for batch in batches:
-            _, keys = _probes(batch, sim, offered.value)
-            bits[keys >> _BIT_SHIFT] = True
-        return np.packbits(bits)
-
-    return run
+def _asked(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    bits = np.zeros(PROBE_BITS, bool)
+    for batch in batches:
+        bits[batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64) >> _BIT_SHIFT] = True
+    return np.packbits(bits)
 
 
 def near_duplicate_pairs(texts: DataFrame, num: int = 7, den: int = 10, expand_limit: int = 64) -> DataFrame:
@@ -298,17 +248,21 @@ def near_duplicate_pairs(texts: DataFrame, num: int = 7, den: int = 10, expand_l
     sets = texts.where(F.col("text").isNotNull()).select("tbl", F.col("id").cast("long").alias("id"), F.array_distinct(F.transform(words(F.col("text")), lambda x: F.xxhash64(x))).alias("words"))
     part = lambda seed: F.aggregate("words", F.lit(0).cast("long"), lambda acc, x: (acc + F.pmod(F.xxhash64(F.lit(seed), x), F.lit((1 << 61) - 1))) % F.lit((1 << 61) - 1))
     sets = stage.table(sets.where(F.size("words") > 0).withColumns({"sig0": part(0), "sig1": part(1)}), "sets")
-    ranks = spark.sparkContext.broadcast(_gather(sets.select("words"), _word_counts, WORD_COUNTERS, np.uint32, _rank))
-    shaped = sets.mapInArrow(_prefixes(ranks, sim), "tbl int, id long, sig0 long, sig1 long, n int, prefix array<long>, places array<int>")
+    ranks = spark.sparkContext.broadcast(gather(sets.select("words"), _word_counts, WORD_COUNTERS, np.uint32, _rank))
+    shaped = sets.mapInArrow(_prefixes(ranks, sim), "tbl int, id long, sig0 long, sig1 long, n int, bits0 long, bits1 long, prefix array<long>, places array<int>")
     # One row for each class; its prefix is that of any member, as they have the same words.
-    reps = stage.table(shaped.groupBy("tbl", "sig0", "sig1").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("places").alias("places")), "reps")
-    small = reps.where(F.size("prefix") > 0).select("tbl", "id", "n", "prefix", "places")
-    offered = spark.sparkContext.broadcast(_gather(small, _offer_counts(sim), KEY_COUNTERS, np.uint32, lambda x: np.minimum(x, 65535).astype(np.uint16)))
-    asked = spark.sparkContext.broadcast(_gather(small, _asked(sim, offered), PROBE_BITS // 8, np.uint8, lambda x: x.astype(np.uint8), np.bitwise_or))
-    probes = small.mapInArrow(_probe_rows(sim, offered), "key long, long_id long, n_long int")
-    offers = small.mapInArrow(_offer_rows(sim, asked), "key long, tbl int, short_id long, n_short int")
+    reps = stage.table(shaped.groupBy("tbl", "sig0", "sig1").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "bits0", "bits1")), F.first("prefix").alias("prefix"), F.first("places").alias("places")), "reps")
+    small = reps.where(F.size("prefix") > 0).select("tbl", "id", "n", "bits0", "bits1", "prefix", "places")
+    offered = spark.sparkContext.broadcast(gather(small, _offer_counts(sim), KEY_COUNTERS, np.uint32, lambda x: np.minimum(x, 65535).astype(np.uint16)))
+    probes = stage.table(small.mapInArrow(_probe_rows(sim, offered), "key long, long_id long, n_long int, long0 long, long1 long"), "probes")
+    asked = spark.sparkContext.broadcast(gather(probes.select("key"), _asked, PROBE_BITS // 8, np.uint8, lambda x: x.astype(np.uint8), np.bitwise_or))
+    offers = small.mapInArrow(_offer_rows(sim, asked), "key long, tbl int, short_id long, n_short int, short0 long, short1 long")
     fits = (F.col("n_short") <= F.col("n_long")) & (F.col("n_short") * den >= F.col("n_long") * num) & ((F.col("n_short") < F.col("n_long")) | (F.col("short_id") < F.col("long_id")))
-    candidates = stage.table(probes.join(offers, "key").where(fits).select("tbl", "long_id", "short_id").distinct(), "candidates")
+    # Each bit in which two sets' bitmaps differ stands for a word that only one of them has.
+    differ = F.bit_count(F.col("long0").bitwiseXOR(F.col("short0"))) + F.bit_count(F.col("long1").bitwiseXOR(F.col("short1")))
+    near = differ * (den + num) <= (F.col("n_long") + F.col("n_short")) * (den - num)
+    candidates = stage.table(probes.join(offers, "key").where(fits & near).select("tbl", "long_id", "short_id").distinct(), "candidates")
+    stage.drop("probes")
     side = lambda name: sets.select("tbl", F.col("id").alias(f"{name}_id"), F.col("words").alias(f"{name}_words"))
     checked = candidates.join(side("long"), ["tbl", "long_id"]).join(side("short"), ["tbl", "short_id"])
     shared, total = F.size(F.array_intersect("long_words", "short_words")), F.size("long_words") + F.size("short_words")
