@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rungmill.llm import formatting_copies, linking, near_duplicates
+from rungmill.llm import formatting_copies, leaked_passages, linking, near_duplicates, quota_sampling
 
-_PARTS = (near_duplicates, formatting_copies, linking)
+_PARTS = (near_duplicates, formatting_copies, linking, quota_sampling, leaked_passages)
 QUERIES = {k: f for m in _PARTS for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in _PARTS for k, q in m.ORACLE.items()}
