@@ -18,11 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungmill.functions.text import words
-from rungmill.llm.sketches import gather, lists, mix
+from rungmill.llm.sketches import gather_bits, is_marked, lists, mix
 
 MASKS = ("1101100111", "1110011011")  # 1: the word counts; each ignores three of ten
 BITS = 1 << 26
-_SHIFT = np.uint64(64 - (BITS.bit_length() - 1))
 
 
 def _windows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -41,22 +40,12 @@ def _windows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield row[at], place[at], mix(key)
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    for batch in batches:
-        for _, _, key in _windows(batch):
-            bits[key >> _SHIFT] = True
-    return np.packbits(bits)
-
-
 def _emit(name: str, marked=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = marked.value if marked is not None else None
         for batch in batches:
             for row, place, key in _windows(batch):
-                if bits is not None:
-                    at = key >> _SHIFT
-                    hit = (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+                if marked is not None:
+                    hit = is_marked(marked.value, key)
                     row, place, key = row[hit], place[hit], key[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("id").take(pa.array(row)), pa.array(place, pa.int64())], ["key", name, f"{name}_at"])
 
@@ -106,7 +95,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 10) ->
     spark = documents.sparkSession
     hashed = lambda df, name: df.where(F.col("text").isNotNull()).select(F.col(name).cast("long").alias("id"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("words"))
     docs, tests = hashed(documents, "doc_id"), hashed(items, "item_id")
-    marked = spark.sparkContext.broadcast(gather(tests.select("words"), _marked, BITS // 8, np.uint8, lambda x: x.astype(np.uint8), np.bitwise_or))
+    marked = spark.sparkContext.broadcast(gather_bits(tests.select("words"), BITS, lambda batch: (key for _, _, key in _windows(batch))))
     asked = tests.mapInArrow(_emit("item_id"), "key long, item_id long, item_id_at long")
     met = docs.mapInArrow(_emit("doc_id", marked), "key long, doc_id long, doc_id_at long")
     hits = met.join(asked, "key").select("doc_id", "item_id", (F.col("doc_id_at") - F.col("item_id_at")).alias("shift")).distinct()

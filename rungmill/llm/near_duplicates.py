@@ -27,16 +27,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungmill.functions.text import words
-from rungmill.llm.sketches import as_lists, gather, lists, mix
+from rungmill.llm.sketches import as_lists, gather, gather_bits, is_marked, is_set, lists, mix, pack
 from rungmill.plans.staging import Staging
 
 WORD_COUNTERS = 1 << 22
 KEY_COUNTERS = 1 << 22
-PROBE_BITS = 1 << 26
+WORD_SLOTS = 1 << 26  # of which two counts are told apart: once, more often
+KEY_BITS = 1 << 26
+ID_BITS = 1 << 26
 MOST_WORDS = 3  # the largest m
 MOST_OFFERS = 1024  # combinations of one m that a record offers; beyond, single words under a key of their own
+SET_BITS = 40  # bits of a word set's bitmap that share a bigint with its table (4 bits) and number of words (20); 64 more follow
+MOST_COUNTED = (1 << 20) - 1
 KEY_COST = 10.0  # a probed key, made and shuffled, against a row that a key meets in the join
-_BIT_SHIFT = np.uint64(64 - (PROBE_BITS.bit_length() - 1))
 
 
 class Similarity:
@@ -51,7 +54,8 @@ class Similarity:
 
     def offer_length(self, n: np.ndarray, m: int) -> np.ndarray:
         """Prefix words of the shorter one."""
-        return np.minimum(n, n + (-2 * self.num * n) // (self.den + self.num) + m)
+        short = np.minimum(n, n + (-2 * self.num * n) // (self.den + self.num) + m)
+        return np.where(n < MOST_COUNTED, short, self.probe_length(n, m))  # beyond, which one is longer isn't told
 
     def most_words(self, n: np.ndarray) -> np.ndarray:
         """m must not exceed the words that any pair of this record shares."""
@@ -72,7 +76,15 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     return counts
 
 
-def _prefixes(ranks, sim: Similarity):
+def _word_repeats(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    seen = np.zeros(WORD_SLOTS, np.uint8)
+    for batch in batches:
+        at, n = np.unique(lists(batch.column("words"))[0].view(np.uint64) & np.uint64(WORD_SLOTS - 1), return_counts=True)
+        seen[at] = np.minimum(seen[at] + np.minimum(n, 2), 2)
+    return seen
+
+
+def _prefixes(ranks, repeats, sim: Similarity):
     """Words that occur again, of the longest prefix that any m needs, in order, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,14 +97,17 @@ def _prefixes(ranks, sim: Similarity):
             order = np.lexsort((values, rank, doc))
             values, rank = values[order], rank[order]
             place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
-            keep = (place < np.repeat(sim.probe_length(n, MOST_WORDS), n)) & (rank > 1)
+            keep = (place < np.repeat(sim.probe_length(n, MOST_WORDS), n)) & is_set(repeats.value, values.view(np.uint64) & np.uint64(WORD_SLOTS - 1))
             kept = np.bincount(doc[keep], minlength=len(n))
-            bit = mix(values.view(np.uint64)) >> np.uint64(57)
-            one = np.uint64(1) << (bit & np.uint64(63))
-            half = [np.bitwise_or.reduceat(np.where((bit >> np.uint64(6)) == h, one, np.uint64(0)), np.cumsum(n) - n).view(np.int64) for h in (0, 1)]
+            slot = (mix(values.view(np.uint64)) >> np.uint64(32)) * np.uint64(SET_BITS + 64) // np.uint64(1 << 32)
+            first = slot < np.uint64(SET_BITS)
+            starts = np.cumsum(n) - n
+            bits = np.bitwise_or.reduceat(np.where(first, np.uint64(0), np.uint64(1) << (np.where(first, slot, slot - np.uint64(SET_BITS)))), starts)
+            table = batch.column("tbl").to_numpy(zero_copy_only=False).astype(np.uint64)
+            card = np.bitwise_or.reduceat(np.where(first, np.uint64(1) << np.where(first, slot, np.uint64(0)), np.uint64(0)), starts) | (table << np.uint64(SET_BITS)) | (np.minimum(n, MOST_COUNTED).astype(np.uint64) << np.uint64(SET_BITS + 4))
             names = ["tbl", "id", "sig0", "sig1"]
-            columns = [batch.column(c) for c in names] + [pa.array(n, pa.int32()), pa.array(half[0]), pa.array(half[1]), as_lists(values[keep], kept, pa.int64()), as_lists(place[keep].astype(np.int32), kept, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n", "bits0", "bits1", "prefix", "places"])
+            columns = [batch.column(c) for c in names] + [pa.array(n, pa.int32()), pa.array(card.view(np.int64)), pa.array(bits.view(np.int64)), as_lists(values[keep], kept, pa.int64()), as_lists(place[keep].astype(np.int32), kept, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "n", "card", "bits", "prefix", "places"])
 
     return run
 
@@ -209,35 +224,39 @@ def _probe_rows(sim: Similarity, offered):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, keys = _probes(batch, sim, offered.value)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(rows)) for c in ("id", "n", "bits0", "bits1"))], ["key", "long_id", "n_long", "long0", "long1"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(rows)) for c in ("id", "card", "bits"))], ["key", "long_id", "long", "long_bits"])
 
     return run
 
 
 def _offer_rows(sim: Similarity, asked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = asked.value
         for batch in batches:
             rows, keys = _offers(batch, sim)
-            at = keys >> _BIT_SHIFT
-            hit = (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+            hit = is_marked(asked.value, keys)
             rows, keys = rows[hit], keys[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(rows)) for c in ("tbl", "id", "n", "bits0", "bits1"))], ["key", "tbl", "short_id", "n_short", "short0", "short1"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(rows)) for c in ("id", "card", "bits"))], ["key", "short_id", "short", "short_bits"])
 
     return run
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    bits = np.zeros(PROBE_BITS, bool)
-    for batch in batches:
-        bits[batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64) >> _BIT_SHIFT] = True
-    return np.packbits(bits)
+def _ids(batch: pa.RecordBatch, id_: str) -> np.ndarray:
+    tbl = batch.column("tbl").to_numpy(zero_copy_only=False).astype(np.uint64)
+    return mix(batch.column(id_).to_numpy(zero_copy_only=False).view(np.uint64) + tbl * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _only(marked):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(is_marked(marked.value, _ids(batch, "id"))))
+
+    return run
 
 
 def near_duplicate_pairs(texts: DataFrame, num: int = 7, den: int = 10, expand_limit: int = 64) -> DataFrame:
     """(tbl, id_a, id_b): pairs of one table whose sets of distinct words have at least num/den of their union in common.
 
-    texts: tbl int, id bigint (unique in its table), text string. Null texts and texts without words are in no pair. The smaller
+    texts: tbl int below 16, id bigint (unique in its table), text string. Null texts and texts without words are in no pair. The smaller
     id stands first. Records of one word set form a class: classes of up to expand_limit records appear with all their pairs, inside
     and across; the records of a larger class appear with its smallest id, which stands for the class in pairs with others. Equal
     or short texts, ties and repeated words need no special care; an empty table gives an empty result.
@@ -249,21 +268,27 @@ def near_duplicate_pairs(texts: DataFrame, num: int = 7, den: int = 10, expand_l
     part = lambda seed: F.aggregate("words", F.lit(0).cast("long"), lambda acc, x: (acc + F.pmod(F.xxhash64(F.lit(seed), x), F.lit((1 << 61) - 1))) % F.lit((1 << 61) - 1))
     sets = stage.table(sets.where(F.size("words") > 0).withColumns({"sig0": part(0), "sig1": part(1)}), "sets")
     ranks = spark.sparkContext.broadcast(gather(sets.select("words"), _word_counts, WORD_COUNTERS, np.uint32, _rank))
-    shaped = sets.mapInArrow(_prefixes(ranks, sim), "tbl int, id long, sig0 long, sig1 long, n int, bits0 long, bits1 long, prefix array<long>, places array<int>")
+    repeats = spark.sparkContext.broadcast(gather(sets.select("words"), _word_repeats, WORD_SLOTS, np.uint8, lambda x: pack(x > 1), lambda x, y: np.minimum(x + y, 2)))
+    shaped = sets.mapInArrow(_prefixes(ranks, repeats, sim), "tbl int, id long, sig0 long, sig1 long, n int, card long, bits long, prefix array<long>, places array<int>")
     # One row for each class; its prefix is that of any member, as they have the same words.
-    reps = stage.table(shaped.groupBy("tbl", "sig0", "sig1").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "bits0", "bits1")), F.first("prefix").alias("prefix"), F.first("places").alias("places")), "reps")
-    small = reps.where(F.size("prefix") > 0).select("tbl", "id", "n", "bits0", "bits1", "prefix", "places")
+    reps = stage.table(shaped.groupBy("tbl", "sig0", "sig1").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "card", "bits")), F.first("prefix").alias("prefix"), F.first("places").alias("places")), "reps")
+    small = reps.where(F.size("prefix") > 0).select("tbl", "id", "n", "card", "bits", "prefix", "places")
     offered = spark.sparkContext.broadcast(gather(small, _offer_counts(sim), KEY_COUNTERS, np.uint32, lambda x: np.minimum(x, 65535).astype(np.uint16)))
-    probes = stage.table(small.mapInArrow(_probe_rows(sim, offered), "key long, long_id long, n_long int, long0 long, long1 long"), "probes")
-    asked = spark.sparkContext.broadcast(gather(probes.select("key"), _asked, PROBE_BITS // 8, np.uint8, lambda x: x.astype(np.uint8), np.bitwise_or))
-    offers = small.mapInArrow(_offer_rows(sim, asked), "key long, tbl int, short_id long, n_short int, short0 long, short1 long")
-    fits = (F.col("n_short") <= F.col("n_long")) & (F.col("n_short") * den >= F.col("n_long") * num) & ((F.col("n_short") < F.col("n_long")) | (F.col("short_id") < F.col("long_id")))
+    probes = stage.table(small.mapInArrow(_probe_rows(sim, offered), "key long, long_id long, long long, long_bits long"), "probes")
+    asked = spark.sparkContext.broadcast(gather_bits(probes.select("key"), KEY_BITS, lambda batch: [batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)]))
+    offers = small.mapInArrow(_offer_rows(sim, asked), "key long, short_id long, short long, short_bits long")
+    n_long, n_short = F.shiftrightunsigned("long", SET_BITS + 4), F.shiftrightunsigned("short", SET_BITS + 4)
+    tbl = F.shiftrightunsigned("short", SET_BITS).bitwiseAND(F.lit(15)).cast("int")
+    fits = (n_short <= n_long) & (n_short * den >= n_long * num) & ((n_short < n_long) | (F.col("short_id") < F.col("long_id")))
     # Each bit in which two sets' bitmaps differ stands for a word that only one of them has.
-    differ = F.bit_count(F.col("long0").bitwiseXOR(F.col("short0"))) + F.bit_count(F.col("long1").bitwiseXOR(F.col("short1")))
-    near = differ * (den + num) <= (F.col("n_long") + F.col("n_short")) * (den - num)
-    candidates = stage.table(probes.join(offers, "key").where(fits & near).select("tbl", "long_id", "short_id").distinct(), "candidates")
+    differ = F.bit_count(F.col("long").bitwiseXOR(F.col("short")).bitwiseAND(F.lit((1 << SET_BITS) - 1))) + F.bit_count(F.col("long_bits").bitwiseXOR(F.col("short_bits")))
+    near = differ * (den + num) <= (n_long + n_short) * (den - num)
+    candidates = stage.table(probes.join(offers, "key").where(fits & near).select(tbl.alias("tbl"), "long_id", "short_id").distinct(), "candidates")
     stage.drop("probes")
-    side = lambda name: sets.select("tbl", F.col("id").alias(f"{name}_id"), F.col("words").alias(f"{name}_words"))
+    met = candidates.select("tbl", "long_id", "short_id")
+    marked = spark.sparkContext.broadcast(gather_bits(met, ID_BITS, lambda batch: [_ids(batch, "long_id"), _ids(batch, "short_id")]))
+    few_sets = sets.select("tbl", "id", "words").mapInArrow(_only(marked), "tbl int, id long, words array<long>")
+    side = lambda name: few_sets.select("tbl", F.col("id").alias(f"{name}_id"), F.col("words").alias(f"{name}_words"))
     checked = candidates.join(side("long"), ["tbl", "long_id"]).join(side("short"), ["tbl", "short_id"])
     shared, total = F.size(F.array_intersect("long_words", "short_words")), F.size("long_words") + F.size("short_words")
     pairs = stage.table(checked.where(shared * (den + num) >= total * num).select("tbl", "long_id", "short_id"), "pairs")

@@ -53,8 +53,40 @@ def gather(df: DataFrame, count, size: int, dtype, finish, merge=np.add) -> np.n
         return pa.table({"chunk": table.column("chunk")[:1], "body": pa.array([zlib.compress(finish(total).tobytes(), 1)], pa.binary())})
 
     done = df.mapInArrow(part, "chunk int, body binary").groupBy("chunk").applyInArrow(add, "chunk int, body binary").collect()
-    kind = finish(np.zeros(1, np.uint64)).dtype
-    out = np.zeros(size, kind)
-    for chunk, body in done:
-        out[chunk * (size // CHUNKS) : (chunk + 1) * (size // CHUNKS)] = np.frombuffer(zlib.decompress(bytes(body)), kind)
-    return out
+    empty = finish(np.zeros(size // CHUNKS, np.uint64))
+    bodies = {chunk: np.frombuffer(zlib.decompress(bytes(body)), empty.dtype) for chunk, body in done}
+    return np.concatenate([bodies.get(k, empty) for k in range(CHUNKS)])
+
+
+def pack(x: np.ndarray) -> np.ndarray:
+    """Counts as bits: whether they are above zero."""
+    return np.packbits(x > 0)
+
+
+def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The packed bits at these places."""
+    return (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
+def mark(bits: int, keys_of):
+    """For gather: the set of keys of a partition as bits; keys_of: batch -> arrays of mixed 64-bit keys."""
+    shift = np.uint64(64 - (bits.bit_length() - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(bits, bool)
+        for batch in batches:
+            for keys in keys_of(batch):
+                out[keys >> shift] = True
+        return np.packbits(out)
+
+    return run
+
+
+def gather_bits(df: DataFrame, bits: int, keys_of) -> np.ndarray:
+    """A bitmap of fixed size of all keys of a table."""
+    return gather(df, mark(bits, keys_of), bits // 8, np.uint8, lambda x: x.astype(np.uint8), np.bitwise_or)
+
+
+def is_marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether mixed keys are in a bitmap of gather_bits."""
+    return is_set(bitmap, keys >> np.uint64(64 - (len(bitmap).bit_length() + 2)))
