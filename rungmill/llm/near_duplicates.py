@@ -33,7 +33,7 @@ from rungmill.plans.staging import Staging
 WORD_COUNTERS = 1 << 22
 KEY_COUNTERS = 1 << 22
 WORD_SLOTS = 1 << 26  # of which two counts are told apart: once, more often
-KEY_BITS = 1 << 26
+KEY_BITS = 1 << 28
 ID_BITS = 1 << 26
 MOST_WORDS = 3  # the largest m
 MOST_OFFERS = 1024  # combinations of one m that a record offers; beyond, single words under a key of their own

@@ -73,11 +73,12 @@ def mark(bits: int, keys_of):
     shift = np.uint64(64 - (bits.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(bits, bool)
+        out = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for keys in keys_of(batch):
-                out[keys >> shift] = True
-        return np.packbits(out)
+                at = np.unique(keys >> shift)
+                np.bitwise_or.at(out, at >> np.uint64(3), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
+        return out
 
     return run
 

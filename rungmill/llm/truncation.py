@@ -197,6 +197,7 @@ def truncated(texts: DataFrame) -> DataFrame:
     texts: tbl int, id bigint, source string, text string. Null texts and texts without tokens are whole, and so is a text at the limit
     that ends with a final mark. An empty table gives an empty result.
     """
+    texts = texts.select("tbl", "id", "source", "text")
     stage = Staging(texts.sparkSession, "limits")
     found = stage.table(limits(texts).coalesce(1), "limits").withColumnsRenamed({"tbl": "l_tbl", "source": "l_source"})
     sized = texts.where(F.col("text").isNotNull()).join(F.broadcast(found), (F.col("tbl") == F.col("l_tbl")) & F.col("source").eqNullSafe(F.col("l_source")), "left")
