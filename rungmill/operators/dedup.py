@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rungmill.functions.names import free
+
 
 def exact_dedup(records: DataFrame, keys: list[str], score: Column, ordinal: str) -> DataFrame:
     """One record for each key: that of the highest score, then of the smallest ordinal.
@@ -18,7 +20,8 @@ def exact_dedup(records: DataFrame, keys: list[str], score: Column, ordinal: str
     has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     value = score.cast("double")
     best = W.partitionBy(*keys).orderBy(F.when(~F.isnan(value), value).desc_nulls_last(), F.col(ordinal).asc_nulls_last())
-    kept = records.where(has_key).withColumn("_place", F.row_number().over(best)).where("_place = 1").drop("_place")
+    (place,) = free(records, "place")
+    kept = records.where(has_key).withColumn(place, F.row_number().over(best)).where(F.col(place) == 1).drop(place)
     return kept.unionByName(records.where(~has_key))
 
 

@@ -9,20 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rungmill.functions.levels import norm_category, norm_level
+from rungmill.functions.names import free
 
 MOST_RULES = 10_000
 
 
 def with_rules(records: DataFrame, rules: DataFrame, category: str = "category", level: str = "target_severity") -> DataFrame:
-    """Adds rule: that of the record's category and level, read despite spelling; null where there is none.
+    """Adds rule: that of the record's category and level, read despite spelling; null where there is none; a column rule that the records have is replaced.
 
     rules: category, level, rule, one for each category and level; of repeated ones the first in alphabetical order counts. Rules are
     sent to every task if there are at most MOST_RULES; otherwise the join shuffles.
     """
-    r = rules.groupBy(norm_category(F.col("category")).alias("_c"), norm_level(F.col("level")).alias("_l")).agg(F.min("rule").alias("rule")).where("_c is not null and _l is not null")
+    c, lv = free(records, "c", "lv")
+    r = rules.groupBy(norm_category(F.col("category")).alias(c), norm_level(F.col("level")).alias(lv)).agg(F.min("rule").alias("rule")).where(F.col(c).isNotNull() & F.col(lv).isNotNull())
     if r.limit(MOST_RULES + 1).count() <= MOST_RULES:
         r = F.broadcast(r)
-    return records.join(r, (norm_category(F.col(category)) == F.col("_c")) & (norm_level(F.col(level)) == F.col("_l")), "left").drop("_c", "_l")
+    return records.drop("rule").join(r, (norm_category(F.col(category)) == F.col(c)) & (norm_level(F.col(level)) == F.col(lv)), "left").drop(c, lv)
 
 
 def scorer(function: Callable[[pd.Series], pd.Series], load: Callable[[], object] | None = None) -> Callable[[Column], Column]:
@@ -53,6 +55,7 @@ def drop_poisoned(ladders: DataFrame, flagged: DataFrame, ladder: str = "ladder_
 
 def remaining(records: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Records whose key has not been processed yet; keys with nulls are equal to themselves."""
-    d = done.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-    cond = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    names = free(records, *keys)
+    d = done.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).distinct()
+    cond = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
     return records.join(d, cond, "left_anti")

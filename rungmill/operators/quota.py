@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rungmill.functions.levels import taxonomy
+from rungmill.functions.levels import TAXONOMY, taxonomy
+from rungmill.functions.names import free
 
 
 def unknown_categories(records: DataFrame, category: str = "category") -> DataFrame:
@@ -15,10 +16,8 @@ def unknown_categories(records: DataFrame, category: str = "category") -> DataFr
     return used.join(F.broadcast(taxonomy(records.sparkSession)), "category", "left_anti")
 
 
-def check_categories(spark, wanted: list[str]) -> None:
+def check_categories(wanted: list[str]) -> None:
     """Raises for categories outside the taxonomy, named in order."""
-    from rungmill.functions.levels import TAXONOMY
-
     if unknown := sorted(set(wanted) - set(TAXONOMY)):
         raise ValueError(f"unknown categories: {', '.join(unknown)}")
 
@@ -26,7 +25,7 @@ def check_categories(spark, wanted: list[str]) -> None:
 def needed(existing: DataFrame, samples: int, wanted: list[str] | None = None, category: str = "category") -> DataFrame:
     """(category, existing, needed) of each wanted category (all by default) that has fewer than ``samples`` records."""
     spark = existing.sparkSession
-    check_categories(spark, wanted or [])
+    check_categories(wanted or [])
     asked = taxonomy(spark) if not wanted else taxonomy(spark).where(F.col("category").isin(wanted))
     counts = existing.groupBy(F.coalesce(F.col(category), F.lit("")).alias("_c")).agg(F.count("*").alias("n"))
     have = F.coalesce("n", F.lit(0))
@@ -40,13 +39,14 @@ def take(candidates: DataFrame, plan: DataFrame, samples: int, ordinal: str, cat
     The constant bound lets every partition drop all but its first ``samples`` rows of a category before the shuffle.
     """
     w = W.partitionBy(F.col(category)).orderBy(F.col(ordinal))
-    first = candidates.where(F.col(category).isNotNull()).withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= samples)
-    plan = plan.select(F.col("category").alias("_c"), "needed")
-    return first.join(F.broadcast(plan), F.col(category) == F.col("_c")).where("_place <= needed").drop("_place", "_c", "needed")
+    place, wanted, most = free(candidates, "place", "wanted", "most")
+    first = candidates.where(F.col(category).isNotNull()).withColumn(place, F.row_number().over(w)).where(F.col(place) <= samples)
+    plan = plan.select(F.col("category").alias(wanted), F.col("needed").alias(most))  # at most one row for each category of the taxonomy
+    return first.join(F.broadcast(plan), F.col(category) == F.col(wanted)).where(F.col(place) <= F.col(most)).drop(place, wanted, most)
 
 
-def dry_run(spark, samples: int, wanted: list[str] | None = None) -> DataFrame:
+def dry_run(spark: SparkSession, samples: int, wanted: list[str] | None = None) -> DataFrame:
     """(category, samples): what a run would ask for; reads nothing."""
-    check_categories(spark, wanted or [])
+    check_categories(wanted or [])
     asked = taxonomy(spark) if not wanted else taxonomy(spark).where(F.col("category").isin(wanted))
     return asked.select("category", F.lit(samples).cast("long").alias("samples"))

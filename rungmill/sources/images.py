@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungmill.functions.identity import safe_relative
+from rungmill.functions.names import free
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -23,13 +24,14 @@ def resolve(references: DataFrame, listings: list[DataFrame]) -> DataFrame:
 
     Absolute paths and paths with '..' are in no root. Repeated references are kept one by one.
     """
-    out = references.where(F.coalesce("image_path", F.lit("")) != "").withColumn("_path", safe_relative(F.col("image_path")))
-    held = [x.select("path").distinct().select("path", F.lit(k).alias("root")) for k, x in enumerate(listings)]
+    clean, path = free(references, "clean", "path")
+    out = references.drop("root").where(F.coalesce("image_path", F.lit("")) != "").withColumn(clean, safe_relative(F.col("image_path")))
+    held = [x.select(F.col("path").alias(path)).distinct().select(path, F.lit(k).alias("root")) for k, x in enumerate(listings)]
     every = held[0]
     for more in held[1:]:
         every = every.unionByName(more)
-    first = every.groupBy("path").agg(F.min("root").alias("root"))
-    return out.join(first, out["_path"] == first["path"], "left").drop("_path", "path")
+    first = every.groupBy(path).agg(F.min("root").alias("root"))
+    return out.join(first, F.col(clean) == F.col(path), "left").drop(clean, path)
 
 
 def found_and_missing(references: DataFrame, listings: list[DataFrame]) -> DataFrame:
