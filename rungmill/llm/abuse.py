@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 TRAIN_DOCUMENTS = 12_000
 BACKGROUND_DOCUMENTS = 5_000  # documents without review that stand for ordinary wording
 BACKGROUND_SHARE = 0.3  # weight of all of them against all reviewed ones: a few of them are unfit as well
+MOST_BACKGROUND = 0.2  # weight of one of them at most
 LEAST_DOCUMENTS = 2  # features of fewer training documents would only let the model learn single reviews by heart
 TRAIN_CHARS = 20_000  # longer documents don't train the model
 SLOTS = 1 << 18
@@ -162,7 +163,7 @@ def training_sample(documents: DataFrame, reviews: DataFrame, most: int = TRAIN_
     seen = d.join(votes, "doc_id").orderBy("key", "doc_id").limit(most).select("text", "share").collect()
     other = d.join(votes.select("doc_id"), "doc_id", "left_anti").orderBy("key", "doc_id").limit(background).select("text").collect()
     texts = [r["text"] for r in seen] + [r["text"] for r in other]
-    return texts, np.array([r["share"] for r in seen] + [0.0] * len(other), np.float64), np.array([1.0] * len(seen) + [BACKGROUND_SHARE * len(seen) / max(1, len(other))] * len(other), np.float64)
+    return texts, np.array([r["share"] for r in seen] + [0.0] * len(other), np.float64), np.array([1.0] * len(seen) + [min(MOST_BACKGROUND, BACKGROUND_SHARE * len(seen) / max(1, len(other)))] * len(other), np.float64)
 
 
 _SCORED = "doc_id long, source string, score double, worst_sentence string, worst_score double, n_sentences long"

@@ -33,7 +33,7 @@ from rungmill.plans.staging import Staging
 WORD_COUNTERS = 1 << 22
 KEY_COUNTERS = 1 << 22
 WORD_SLOTS = 1 << 26  # of which two counts are told apart: once, more often
-KEY_BITS = 1 << 28
+KEY_BITS, KEY_BITS_LEAST = 1 << 28, 1 << 22  # 256 for each record between these bounds
 ID_BITS = 1 << 26
 MOST_WORDS = 3  # the largest m
 MOST_OFFERS = 1024  # combinations of one m that a record offers; beyond, single words under a key of their own
@@ -275,7 +275,8 @@ def near_duplicate_pairs(texts: DataFrame, num: int = 7, den: int = 10, expand_l
     small = reps.where(F.size("prefix") > 0).select("tbl", "id", "n", "card", "bits", "prefix", "places")
     offered = spark.sparkContext.broadcast(gather(small, _offer_counts(sim), KEY_COUNTERS, np.uint32, lambda x: np.minimum(x, 65535).astype(np.uint16)))
     probes = stage.table(small.mapInArrow(_probe_rows(sim, offered), "key long, long_id long, long long, long_bits long"), "probes")
-    asked = spark.sparkContext.broadcast(gather_bits(probes.select("key"), KEY_BITS, lambda batch: [batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)]))
+    bits = min(KEY_BITS, max(KEY_BITS_LEAST, 1 << (256 * reps.count()).bit_length()))
+    asked = spark.sparkContext.broadcast(gather_bits(probes.select("key"), bits, lambda batch: [batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)]))
     offers = small.mapInArrow(_offer_rows(sim, asked), "key long, short_id long, short long, short_bits long")
     n_long, n_short = F.shiftrightunsigned("long", SET_BITS + 4), F.shiftrightunsigned("short", SET_BITS + 4)
     tbl = F.shiftrightunsigned("short", SET_BITS).bitwiseAND(F.lit(15)).cast("int")
