@@ -32,10 +32,12 @@ from rungmill.plans.staging import Staging
 
 WORD_COUNTERS = 1 << 22
 KEY_COUNTERS = 1 << 22
+PAIR_BITS, PAIR_BITS_LEAST = 1 << 28, 1 << 22  # 256 for each record between these bounds
 WORD_SLOTS = 1 << 26  # of which two counts are told apart: once, more often
 KEY_BITS, KEY_BITS_LEAST = 1 << 28, 1 << 22  # 256 for each record between these bounds
 ID_BITS = 1 << 26
-MOST_WORDS = 3  # the largest m
+MOST_WORDS = 2  # the largest m
+RARE = 64  # words of fewer records are rare; combinations with one are told apart by presence alone, others are counted
 MOST_OFFERS = 1024  # combinations of one m that a record offers; beyond, single words under a key of their own
 SET_BITS = 40  # bits of a word set's bitmap that share a bigint with its table (4 bits) and number of words (20); 64 more follow
 MOST_COUNTED = (1 << 20) - 1
@@ -99,6 +101,7 @@ def _prefixes(ranks, repeats, sim: Similarity):
             place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
             keep = (place < np.repeat(sim.probe_length(n, MOST_WORDS), n)) & is_set(repeats.value, values.view(np.uint64) & np.uint64(WORD_SLOTS - 1))
             kept = np.bincount(doc[keep], minlength=len(n))
+            rare = np.bincount(doc[keep & (rank < RARE)], minlength=len(n))
             slot = (mix(values.view(np.uint64)) >> np.uint64(32)) * np.uint64(SET_BITS + 64) // np.uint64(1 << 32)
             first = slot < np.uint64(SET_BITS)
             starts = np.cumsum(n) - n
@@ -106,8 +109,8 @@ def _prefixes(ranks, repeats, sim: Similarity):
             table = batch.column("tbl").to_numpy(zero_copy_only=False).astype(np.uint64)
             card = np.bitwise_or.reduceat(np.where(first, np.uint64(1) << np.where(first, slot, np.uint64(0)), np.uint64(0)), starts) | (table << np.uint64(SET_BITS)) | (np.minimum(n, MOST_COUNTED).astype(np.uint64) << np.uint64(SET_BITS + 4))
             names = ["tbl", "id", "sig0", "sig1"]
-            columns = [batch.column(c) for c in names] + [pa.array(n, pa.int32()), pa.array(card.view(np.int64)), pa.array(bits.view(np.int64)), as_lists(values[keep], kept, pa.int64()), as_lists(place[keep].astype(np.int32), kept, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n", "card", "bits", "prefix", "places"])
+            columns = [batch.column(c) for c in names] + [pa.array(n, pa.int32()), pa.array(card.view(np.int64)), pa.array(bits.view(np.int64)), pa.array(rare, pa.int32()), as_lists(values[keep], kept, pa.int64()), as_lists(place[keep].astype(np.int32), kept, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "n", "card", "bits", "rare", "prefix", "places"])
 
     return run
 
@@ -120,9 +123,9 @@ def _groups(starts: np.ndarray, tokens: np.ndarray, usable: np.ndarray):
             yield int(k), rows, tokens[starts[rows][:, None] + np.arange(k)[None, :]]
 
 
-def _keys(starts: np.ndarray, tokens: np.ndarray, usable: np.ndarray, m: int, most: int | None, own: np.ndarray | None = None):
-    """(rows, keys, heavy, mine): all combinations of m of each row's first usable words; the rows that have more than most of them; whether only the row's first own words take part."""
-    rows_out, keys_out, heavy, mine = [], [], [], []
+def _keys(starts: np.ndarray, tokens: np.ndarray, usable: np.ndarray, m: int, most: int | None, own: np.ndarray | None = None, rare: np.ndarray | None = None):
+    """(rows, keys, heavy, mine, unusual): all combinations of m of each row's first usable words; the rows that have more than most of them; whether only the row's first own words take part; whether one of its first rare words does."""
+    rows_out, keys_out, heavy, mine, unusual = [], [], [], [], []
     for k, rows, matrix in _groups(starts, tokens, usable):
         if k < m:
             continue
@@ -137,9 +140,11 @@ def _keys(starts: np.ndarray, tokens: np.ndarray, usable: np.ndarray, m: int, mo
             rows_out.append(np.repeat(part := rows[chunk : chunk + len(sub)], len(at)))
             if own is not None:
                 mine.append((at.max(axis=1)[None, :] < own[part][:, None]).ravel())
+            if rare is not None:
+                unusual.append((at.min(axis=1)[None, :] < rare[part][:, None]).ravel())
     none = np.zeros(0, np.int64)
     both = lambda x, kind: np.concatenate(x) if x else none.astype(kind)
-    return both(rows_out, np.int64), both(keys_out, np.uint64), both(heavy, np.int64), both(mine, bool)
+    return both(rows_out, np.int64), both(keys_out, np.uint64), both(heavy, np.int64), both(mine, bool), both(unusual, bool)
 
 
 def _read(batch: pa.RecordBatch):
@@ -161,40 +166,84 @@ def _read(batch: pa.RecordBatch):
 _OWN = np.uint64(0xA24BAED4963EE407)  # turns the key of a single word into the one of records with too many combinations
 
 
+def _own_offers(n, starts, tokens, usable, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """Single words, under keys of their own, of the rows that have too many combinations."""
+    many = np.zeros(len(n), bool)
+    for m in range(2, MOST_WORDS + 1):
+        k = usable(sim.offer_length(n, m))
+        many |= np.array([comb(int(x), m) > MOST_OFFERS for x in np.unique(k)], bool)[np.unique(k, return_inverse=True)[1]] if len(k) else False
+    r, k, *_ = _keys(starts, tokens, np.where(many, usable(sim.offer_length(n, 1)), 0), 1, None)
+    return r, mix(k ^ _OWN)
+
+
 def _offers(batch: pa.RecordBatch, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
     n, starts, tokens, usable = _read(batch)
-    rows, keys, heavy = [], [], []
+    rows, keys = [], []
     for m in range(1, MOST_WORDS + 1):
-        r, k, h, _ = _keys(starts, tokens, usable(sim.offer_length(n, m)), m, MOST_OFFERS if m > 1 else None)
-        rows.append(r), keys.append(k), heavy.append(h)
-    if len(many := np.unique(np.concatenate(heavy))):
-        single = usable(sim.offer_length(n, 1))
-        only = np.zeros_like(single)
-        only[many] = single[many]
-        r, k, *_ = _keys(starts, tokens, only, 1, None)
-        rows.append(r), keys.append(mix(k ^ _OWN))
+        r, k, *_ = _keys(starts, tokens, usable(sim.offer_length(n, m)), m, MOST_OFFERS if m > 1 else None)
+        rows.append(r), keys.append(k)
+    r, k = _own_offers(n, starts, tokens, usable, sim)
+    rows.append(r), keys.append(k)
     return np.concatenate(rows), np.concatenate(keys)
 
 
 def _offer_counts(sim: Similarity):
+    """Offers of single words and of combinations without a rare word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         counts = np.zeros(KEY_COUNTERS, np.uint32)
         for batch in batches:
-            _, keys = _offers(batch, sim)
+            n, starts, tokens, usable = _read(batch)
+            rare = batch.column("rare").to_numpy(zero_copy_only=False)
+            for m in range(1, MOST_WORDS + 1):
+                _, keys, _, _, unusual = _keys(starts, tokens, usable(sim.offer_length(n, m)), m, MOST_OFFERS if m > 1 else None, rare=rare)
+                np.add.at(counts, keys[(m == 1) | ~unusual] & np.uint64(KEY_COUNTERS - 1), 1)
+            _, keys = _own_offers(n, starts, tokens, usable, sim)
             np.add.at(counts, keys & np.uint64(KEY_COUNTERS - 1), 1)
         return counts
 
     return run
 
 
-def _probes(batch: pa.RecordBatch, sim: Similarity, offered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _seen_twice(sim: Similarity, bits: int):
+    """Combinations with a rare word that are offered at all and, in every other byte, that are offered more than once."""
+    shift = np.uint64(64 - (bits.bit_length() - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(bits // 4, np.uint8)
+        once, again = out[::2], out[1::2]
+        for batch in batches:
+            n, starts, tokens, usable = _read(batch)
+            rare = batch.column("rare").to_numpy(zero_copy_only=False)
+            for m in range(2, MOST_WORDS + 1):
+                _, keys, _, _, unusual = _keys(starts, tokens, usable(sim.offer_length(n, m)), m, MOST_OFFERS, rare=rare)
+                at, times = np.unique(keys[unusual] >> shift, return_counts=True)
+                byte, mask = at >> np.uint64(3), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8)
+                more = (times > 1) | (once[byte] & mask != 0)
+                np.bitwise_or.at(again, byte[more], mask[more])
+                np.bitwise_or.at(once, byte, mask)
+        return out
+
+    return run
+
+
+def _merge_twice(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = x | y
+    out[1::2] |= x[::2] & y[::2]
+    return out
+
+
+def _probes(batch: pa.RecordBatch, sim: Similarity, offered: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows, keys) with the m that each record finds cheapest; keys that nobody else can have offered are left out."""
     n, starts, tokens, usable = _read(batch)
+    rare = batch.column("rare").to_numpy(zero_copy_only=False)
     best, chosen = np.full(len(n), np.inf), np.ones(len(n), np.int64)
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     for m in range(1, MOST_WORDS + 1):
-        rows, keys, heavy, mine = _keys(starts, tokens, usable(sim.probe_length(n, m)), m, MOST_OFFERS if m > 1 else None, usable(sim.offer_length(n, m)))
+        rows, keys, heavy, mine, unusual = _keys(starts, tokens, usable(sim.probe_length(n, m)), m, MOST_OFFERS if m > 1 else None, usable(sim.offer_length(n, m)), rare)
         met = offered[keys & np.uint64(KEY_COUNTERS - 1)].astype(np.float64) - mine
+        if m > 1:
+            met = np.where(unusual, np.where(mine, is_marked(pairs[1::2], keys), is_marked(pairs[::2], keys)), met)
         cost = np.bincount(rows, met, minlength=len(n)) + np.bincount(rows, met > 0, minlength=len(n)) * KEY_COST
         cost[(sim.most_words(n) < m)] = np.inf
         cost[heavy] = np.inf
@@ -220,15 +269,28 @@ def _probes(batch: pa.RecordBatch, sim: Similarity, offered: np.ndarray) -> tupl
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _probe_rows(sim: Similarity, offered):
+def _probe_rows(sim: Similarity, offered, pairs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys = _probes(batch, sim, offered.value)
+            rows, keys = _probes(batch, sim, offered.value, pairs.value)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(rows)) for c in ("id", "card", "bits"))], ["key", "long_id", "long", "long_bits"])
 
     return run
 
 
+_PROBE, _OFFER = "key long, long_id long, long long, long_bits long", "key long, short_id long, short long, short_bits long"
+
+
+def _met(marked):
+    """The rows whose key is marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(is_marked(marked.value, batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return run
+
+
 def _offer_rows(sim: Similarity, asked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,15 +331,20 @@ def near_duplicate_pairs(texts: DataFrame, num: int = 7, den: int = 10, expand_l
     sets = stage.table(sets.where(F.size("words") > 0).withColumns({"sig0": part(0), "sig1": part(1)}), "sets")
     ranks = spark.sparkContext.broadcast(gather(sets.select("words"), _word_counts, WORD_COUNTERS, np.uint32, _rank))
     repeats = spark.sparkContext.broadcast(gather(sets.select("words"), _word_repeats, WORD_SLOTS, np.uint8, lambda x: pack(x > 1), lambda x, y: np.minimum(x + y, 2)))
-    shaped = sets.mapInArrow(_prefixes(ranks, repeats, sim), "tbl int, id long, sig0 long, sig1 long, n int, card long, bits long, prefix array<long>, places array<int>")
+    shaped = sets.mapInArrow(_prefixes(ranks, repeats, sim), "tbl int, id long, sig0 long, sig1 long, n int, card long, bits long, rare int, prefix array<long>, places array<int>")
     # One row for each class; its prefix is that of any member, as they have the same words.
-    reps = stage.table(shaped.groupBy("tbl", "sig0", "sig1").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "card", "bits")), F.first("prefix").alias("prefix"), F.first("places").alias("places")), "reps")
-    small = reps.where(F.size("prefix") > 0).select("tbl", "id", "n", "card", "bits", "prefix", "places")
+    reps = stage.table(shaped.groupBy("tbl", "sig0", "sig1").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "card", "bits", "rare")), F.first("prefix").alias("prefix"), F.first("places").alias("places")), "reps")
+    small = reps.where(F.size("prefix") > 0).select("tbl", "id", "n", "card", "bits", "rare", "prefix", "places")
     offered = spark.sparkContext.broadcast(gather(small, _offer_counts(sim), KEY_COUNTERS, np.uint32, lambda x: np.minimum(x, 65535).astype(np.uint16)))
-    probes = stage.table(small.mapInArrow(_probe_rows(sim, offered), "key long, long_id long, long long, long_bits long"), "probes")
-    bits = min(KEY_BITS, max(KEY_BITS_LEAST, 1 << (256 * reps.count()).bit_length()))
-    asked = spark.sparkContext.broadcast(gather_bits(probes.select("key"), bits, lambda batch: [batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)]))
-    offers = small.mapInArrow(_offer_rows(sim, asked), "key long, short_id long, short long, short_bits long")
+    records = reps.count()
+    size = lambda least, most: min(most, max(least, 1 << (256 * records).bit_length()))
+    pair_bits = size(PAIR_BITS_LEAST, PAIR_BITS)
+    pairs = spark.sparkContext.broadcast(gather(small, _seen_twice(sim, pair_bits), pair_bits // 4, np.uint8, lambda x: x.astype(np.uint8), _merge_twice))
+    keys_of = lambda batch: [batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)]
+    marks = lambda rows: spark.sparkContext.broadcast(gather_bits(rows.select("key"), size(KEY_BITS_LEAST, KEY_BITS), keys_of))
+    probes = stage.table(small.mapInArrow(_probe_rows(sim, offered, pairs), _PROBE), "probes")
+    offers = stage.table(small.mapInArrow(_offer_rows(sim, marks(probes)), _OFFER), "offers")
+    probes = probes.mapInArrow(_met(marks(offers)), _PROBE)
     n_long, n_short = F.shiftrightunsigned("long", SET_BITS + 4), F.shiftrightunsigned("short", SET_BITS + 4)
     tbl = F.shiftrightunsigned("short", SET_BITS).bitwiseAND(F.lit(15)).cast("int")
     fits = (n_short <= n_long) & (n_short * den >= n_long * num) & ((n_short < n_long) | (F.col("short_id") < F.col("long_id")))
@@ -285,7 +352,7 @@ def near_duplicate_pairs(texts: DataFrame, num: int = 7, den: int = 10, expand_l
     differ = F.bit_count(F.col("long").bitwiseXOR(F.col("short")).bitwiseAND(F.lit((1 << SET_BITS) - 1))) + F.bit_count(F.col("long_bits").bitwiseXOR(F.col("short_bits")))
     near = differ * (den + num) <= (n_long + n_short) * (den - num)
     candidates = stage.table(probes.join(offers, "key").where(fits & near).select(tbl.alias("tbl"), "long_id", "short_id").distinct(), "candidates")
-    stage.drop("probes")
+    stage.drop("probes", "offers")
     met = candidates.select("tbl", "long_id", "short_id")
     marked = spark.sparkContext.broadcast(gather_bits(met, ID_BITS, lambda batch: [_ids(batch, "long_id"), _ids(batch, "short_id")]))
     few_sets = sets.select("tbl", "id", "words").mapInArrow(_only(marked), "tbl int, id long, words array<long>")
