@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungmill.functions.text import words
-from rungmill.llm.sketches import as_lists, gather, gather_bits, is_marked, is_set, lists, mix, pack
+from rungmill.llm.sketches import as_lists, gather, gather_bits, is_marked, is_set, lists, mix, pack, places, set_bits
 from rungmill.plans.staging import Staging
 
 WORD_COUNTERS = 1 << 22
@@ -207,7 +207,6 @@ def _offer_counts(sim: Similarity):
 
 def _seen_twice(sim: Similarity, bits: int):
     """Combinations with a rare word that are offered at all and, in every other byte, that are offered more than once."""
-    shift = np.uint64(64 - (bits.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(bits // 4, np.uint8)
@@ -217,11 +216,12 @@ def _seen_twice(sim: Similarity, bits: int):
             rare = batch.column("rare").to_numpy(zero_copy_only=False)
             for m in range(2, MOST_WORDS + 1):
                 _, keys, _, _, unusual = _keys(starts, tokens, usable(sim.offer_length(n, m)), m, MOST_OFFERS, rare=rare)
-                at, times = np.unique(keys[unusual] >> shift, return_counts=True)
-                byte, mask = at >> np.uint64(3), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8)
-                more = (times > 1) | (once[byte] & mask != 0)
-                np.bitwise_or.at(again, byte[more], mask[more])
-                np.bitwise_or.at(once, byte, mask)
+                keys, times = np.unique(keys[unusual], return_counts=True)
+                more = (times > 1) | is_marked(once, keys)
+                for at in places(keys[more], bits):
+                    set_bits(again, at)
+                for at in places(keys, bits):
+                    set_bits(once, at)
         return out
 
     return run

@@ -68,16 +68,29 @@ def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
-def mark(bits: int, keys_of):
-    """For gather: the set of keys of a partition as bits; keys_of: batch -> arrays of mixed 64-bit keys."""
+HASHES = 3  # bits of a key; a key is taken to be marked if all of them are set
+
+
+def places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The bits of mixed 64-bit keys in a bitmap of this size."""
     shift = np.uint64(64 - (bits.bit_length() - 1))
+    for j in range(HASHES):
+        yield (mix(keys + np.uint64(j)) if j else keys) >> shift
+
+
+def set_bits(out: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(out, at >> np.uint64(3), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
+
+
+def mark(bits: int, keys_of):
+    """For gather: the set of keys of a partition as a bitmap; keys_of: batch -> arrays of mixed 64-bit keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for keys in keys_of(batch):
-                at = np.unique(keys >> shift)
-                np.bitwise_or.at(out, at >> np.uint64(3), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
+                for at in places(np.unique(keys), bits):
+                    set_bits(out, at)
         return out
 
     return run
@@ -89,5 +102,8 @@ def gather_bits(df: DataFrame, bits: int, keys_of) -> np.ndarray:
 
 
 def is_marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether mixed keys are in a bitmap of gather_bits."""
-    return is_set(bitmap, keys >> np.uint64(64 - (len(bitmap).bit_length() + 2)))
+    """Whether mixed keys are in a bitmap of gather_bits; a key that is in it always is, others rarely are."""
+    out = np.ones(len(keys), bool)
+    for at in places(keys, len(bitmap) * 8):
+        out &= is_set(bitmap, at)
+    return out
