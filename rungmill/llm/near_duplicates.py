@@ -87,7 +87,7 @@ def _word_repeats(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
 
 
 def _prefixes(ranks, repeats, sim: Similarity):
-    """Words that occur again, of the longest prefix that any m needs, in order, with their places."""
+    """Words that occur again, of the longest prefix that any m needs, in order, and how many of them each prefix has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = ranks.value
@@ -108,9 +108,12 @@ def _prefixes(ranks, repeats, sim: Similarity):
             bits = np.bitwise_or.reduceat(np.where(first, np.uint64(0), np.uint64(1) << (np.where(first, slot, slot - np.uint64(SET_BITS)))), starts)
             table = batch.column("tbl").to_numpy(zero_copy_only=False).astype(np.uint64)
             card = np.bitwise_or.reduceat(np.where(first, np.uint64(1) << np.where(first, slot, np.uint64(0)), np.uint64(0)), starts) | (table << np.uint64(SET_BITS)) | (np.minimum(n, MOST_COUNTED).astype(np.uint64) << np.uint64(SET_BITS + 4))
+            counted = [np.bincount(doc[keep & (place < np.repeat(length(n, m), n))], minlength=len(n)) for m in range(1, MOST_WORDS + 1) for length in (sim.offer_length, sim.probe_length)]
+            short = (mix(values[keep].view(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)  # keys alone are made of these
             names = ["tbl", "id", "sig0", "sig1"]
-            columns = [batch.column(c) for c in names] + [pa.array(n, pa.int32()), pa.array(card.view(np.int64)), pa.array(bits.view(np.int64)), pa.array(rare, pa.int32()), as_lists(values[keep], kept, pa.int64()), as_lists(place[keep].astype(np.int32), kept, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n", "card", "bits", "rare", "prefix", "places"])
+            numbers = [pa.array(n, pa.int32()), pa.array(card.view(np.int64)), pa.array(bits.view(np.int64)), pa.array(rare, pa.int32())]
+            arrays = [as_lists(short, kept, pa.int32()), as_lists(np.stack(counted, axis=1).ravel().astype(np.int32), np.full(len(n), 2 * MOST_WORDS), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *numbers, *arrays], [*names, "n", "card", "bits", "rare", "prefix", "counted"])
 
     return run
 
@@ -148,19 +151,17 @@ def _keys(starts: np.ndarray, tokens: np.ndarray, usable: np.ndarray, m: int, mo
 
 
 def _read(batch: pa.RecordBatch):
-    """(sizes, starts, mixed words, usable(limit)) of a batch of representatives."""
+    """(sizes, starts, mixed words, usable) of a batch of representatives; usable("offer" or "probe", m): how many words of each prefix count."""
     n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
     values, lengths = lists(batch.column("prefix"))
-    places, _ = lists(batch.column("places"))
+    counted = lists(batch.column("counted"))[0].reshape(-1, 2 * MOST_WORDS).astype(np.int64)
     tbl = np.repeat(batch.column("tbl").to_numpy(zero_copy_only=False).astype(np.uint64), lengths)
-    tokens = mix(values.view(np.uint64) + tbl * np.uint64(0xD6E8FEB86659FD93))
-    ends = np.cumsum(lengths)
-    row = np.repeat(np.arange(len(n)), lengths)
+    tokens = mix(values.view(np.uint32).astype(np.uint64) + ((tbl + np.uint64(1)) << np.uint64(40)))
 
-    def usable(limit: np.ndarray) -> np.ndarray:
-        return np.bincount(row[places < limit[row]], minlength=len(n)) if len(row) else np.zeros(len(n), np.int64)
+    def usable(side: str, m: int) -> np.ndarray:
+        return counted[:, 2 * (m - 1) + (side == "probe")]
 
-    return n, ends - lengths, tokens, usable
+    return n, np.cumsum(lengths) - lengths, tokens, usable
 
 
 _OWN = np.uint64(0xA24BAED4963EE407)  # turns the key of a single word into the one of records with too many combinations
@@ -170,9 +171,9 @@ def _own_offers(n, starts, tokens, usable, sim: Similarity) -> tuple[np.ndarray,
     """Single words, under keys of their own, of the rows that have too many combinations."""
     many = np.zeros(len(n), bool)
     for m in range(2, MOST_WORDS + 1):
-        k = usable(sim.offer_length(n, m))
+        k = usable("offer", m)
         many |= np.array([comb(int(x), m) > MOST_OFFERS for x in np.unique(k)], bool)[np.unique(k, return_inverse=True)[1]] if len(k) else False
-    r, k, *_ = _keys(starts, tokens, np.where(many, usable(sim.offer_length(n, 1)), 0), 1, None)
+    r, k, *_ = _keys(starts, tokens, np.where(many, usable("offer", 1), 0), 1, None)
     return r, mix(k ^ _OWN)
 
 
@@ -180,7 +181,7 @@ def _offers(batch: pa.RecordBatch, sim: Similarity) -> tuple[np.ndarray, np.ndar
     n, starts, tokens, usable = _read(batch)
     rows, keys = [], []
     for m in range(1, MOST_WORDS + 1):
-        r, k, *_ = _keys(starts, tokens, usable(sim.offer_length(n, m)), m, MOST_OFFERS if m > 1 else None)
+        r, k, *_ = _keys(starts, tokens, usable("offer", m), m, MOST_OFFERS if m > 1 else None)
         rows.append(r), keys.append(k)
     r, k = _own_offers(n, starts, tokens, usable, sim)
     rows.append(r), keys.append(k)
@@ -196,7 +197,7 @@ def _offer_counts(sim: Similarity):
             n, starts, tokens, usable = _read(batch)
             rare = batch.column("rare").to_numpy(zero_copy_only=False)
             for m in range(1, MOST_WORDS + 1):
-                _, keys, _, _, unusual = _keys(starts, tokens, usable(sim.offer_length(n, m)), m, MOST_OFFERS if m > 1 else None, rare=rare)
+                _, keys, _, _, unusual = _keys(starts, tokens, usable("offer", m), m, MOST_OFFERS if m > 1 else None, rare=rare)
                 np.add.at(counts, keys[(m == 1) | ~unusual] & np.uint64(KEY_COUNTERS - 1), 1)
             _, keys = _own_offers(n, starts, tokens, usable, sim)
             np.add.at(counts, keys & np.uint64(KEY_COUNTERS - 1), 1)
@@ -215,7 +216,7 @@ def _seen_twice(sim: Similarity, bits: int):
             n, starts, tokens, usable = _read(batch)
             rare = batch.column("rare").to_numpy(zero_copy_only=False)
             for m in range(2, MOST_WORDS + 1):
-                _, keys, _, _, unusual = _keys(starts, tokens, usable(sim.offer_length(n, m)), m, MOST_OFFERS, rare=rare)
+                _, keys, _, _, unusual = _keys(starts, tokens, usable("offer", m), m, MOST_OFFERS, rare=rare)
                 keys, times = np.unique(keys[unusual], return_counts=True)
                 more = (times > 1) | is_marked(once, keys)
                 for at in places(keys[more], bits):
@@ -240,7 +241,7 @@ def _probes(batch: pa.RecordBatch, sim: Similarity, offered: np.ndarray, pairs:
     best, chosen = np.full(len(n), np.inf), np.ones(len(n), np.int64)
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     for m in range(1, MOST_WORDS + 1):
-        rows, keys, heavy, mine, unusual = _keys(starts, tokens, usable(sim.probe_length(n, m)), m, MOST_OFFERS if m > 1 else None, usable(sim.offer_length(n, m)), rare)
+        rows, keys, heavy, mine, unusual = _keys(starts, tokens, usable("probe", m), m, MOST_OFFERS if m > 1 else None, usable("offer", m), rare)
         met = offered[keys & np.uint64(KEY_COUNTERS - 1)].astype(np.float64) - mine
         if m > 1:
             met = np.where(unusual, np.where(mine, is_marked(pairs[1::2], keys), is_marked(pairs[::2], keys)), met)
@@ -259,7 +260,7 @@ def _probes(batch: pa.RecordBatch, sim: Similarity, offered: np.ndarray, pairs:
         over |= np.array([comb(int(k), m) for k in sim.offer_length(least, m)], dtype=np.float64) > MOST_OFFERS
     bound = int(least[over][0]) if over.any() else 1 << 40
     if len(ask := np.flatnonzero((chosen > 1) & (n >= bound))):
-        single = usable(sim.probe_length(n, 1))
+        single = usable("probe", 1)
         only = np.zeros_like(single)
         only[ask] = single[ask]
         r, k, *_ = _keys(starts, tokens, only, 1, None)
@@ -331,10 +332,10 @@ def near_duplicate_pairs(texts: DataFrame, num: int = 7, den: int = 10, expand_l
     sets = stage.table(sets.where(F.size("words") > 0).withColumns({"sig0": part(0), "sig1": part(1)}), "sets")
     ranks = spark.sparkContext.broadcast(gather(sets.select("words"), _word_counts, WORD_COUNTERS, np.uint32, _rank))
     repeats = spark.sparkContext.broadcast(gather(sets.select("words"), _word_repeats, WORD_SLOTS, np.uint8, lambda x: pack(x > 1), lambda x, y: np.minimum(x + y, 2)))
-    shaped = sets.mapInArrow(_prefixes(ranks, repeats, sim), "tbl int, id long, sig0 long, sig1 long, n int, card long, bits long, rare int, prefix array<long>, places array<int>")
+    shaped = sets.mapInArrow(_prefixes(ranks, repeats, sim), "tbl int, id long, sig0 long, sig1 long, n int, card long, bits long, rare int, prefix array<int>, counted array<int>")
     # One row for each class; its prefix is that of any member, as they have the same words.
-    reps = stage.table(shaped.groupBy("tbl", "sig0", "sig1").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "card", "bits", "rare")), F.first("prefix").alias("prefix"), F.first("places").alias("places")), "reps")
-    small = reps.where(F.size("prefix") > 0).select("tbl", "id", "n", "card", "bits", "rare", "prefix", "places")
+    reps = stage.table(shaped.groupBy("tbl", "sig0", "sig1").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "card", "bits", "rare")), F.first("prefix").alias("prefix"), F.first("counted").alias("counted")), "reps")
+    small = reps.where(F.size("prefix") > 0).select("tbl", "id", "n", "card", "bits", "rare", "prefix", "counted")
     offered = spark.sparkContext.broadcast(gather(small, _offer_counts(sim), KEY_COUNTERS, np.uint32, lambda x: np.minimum(x, 65535).astype(np.uint16)))
     records = reps.count()
     size = lambda least, most: min(most, max(least, 1 << (256 * records).bit_length()))

@@ -68,7 +68,7 @@ def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
-HASHES = 3  # bits of a key; a key is taken to be marked if all of them are set
+HASHES = 2  # bits of a key; a key is taken to be marked if all of them are set
 
 
 def places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
