@@ -42,6 +42,7 @@ MOST_OFFERS = 1024  # combinations of one m that a record offers; beyond, single
 SET_BITS = 40  # bits of a word set's bitmap that share a bigint with its table (4 bits) and number of words (20); 64 more follow
 MOST_COUNTED = (1 << 20) - 1
 KEY_COST = 10.0  # a probed key, made and shuffled, against a row that a key meets in the join
+PAIR_COST = 3.0  # a key with a rare word: most such keys are there by chance and go before the shuffle, when offers are known
 
 
 class Similarity:
@@ -243,9 +244,10 @@ def _probes(batch: pa.RecordBatch, sim: Similarity, offered: np.ndarray, pairs:
     for m in range(1, MOST_WORDS + 1):
         rows, keys, heavy, mine, unusual = _keys(starts, tokens, usable("probe", m), m, MOST_OFFERS if m > 1 else None, usable("offer", m), rare)
         met = offered[keys & np.uint64(KEY_COUNTERS - 1)].astype(np.float64) - mine
+        price = np.where(unusual & (m > 1), PAIR_COST, KEY_COST)
         if m > 1:
             met = np.where(unusual, np.where(mine, is_marked(pairs[1::2], keys), is_marked(pairs[::2], keys)), met)
-        cost = np.bincount(rows, met, minlength=len(n)) + np.bincount(rows, met > 0, minlength=len(n)) * KEY_COST
+        cost = np.bincount(rows, met, minlength=len(n)) + np.bincount(rows, np.where(met > 0, price, 0), minlength=len(n))
         cost[(sim.most_words(n) < m)] = np.inf
         cost[heavy] = np.inf
         better = cost < best
