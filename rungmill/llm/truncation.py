@@ -8,7 +8,8 @@ source the one that gathers most texts there is the right one.
 Endings: a broken transfer cuts anywhere. All texts are read as tokens (rare words by their last letters, numbers by their digits),
 and each short context of tokens has a rate at which texts end in it. An ending whose context hardly ever ends a text, or whose
 last word or number ends as hardly any does in the middle of texts, is a cut. Rates are counted over all texts of the table in
-arrays of fixed size; texts at a limit don't count as ends.
+arrays of fixed size; texts at a limit don't count as ends. A text's own end is taken out before it is judged, and a rate counts only
+if the context was seen often enough to show one as low.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from rungmill.plans.staging import Staging
 COUNTERS = 1 << 22
 WORD_COUNTERS = 1 << 20
 KNOWN_SHARE, KNOWN_LEAST = 2e-4, 8  # a word is known if so many texts hold it
-LEAST_SEEN = 30  # a context seen less often gives way to a shorter one
-END_RATE = 0.004  # texts hardly ever end in a context with a lower rate
+LEAST_SEEN = 30  # the last letters of a word or number seen less often tell nothing
+END_RATE = 0.004  # texts hardly ever end in a context with a lower rate; one that other texts hold less than 1 / END_RATE times gives way to a shorter one
 LAST_WORD_RATE = 0.001  # nor with a last word of a lower rate, whatever stands before it
 LAST_SHARE = 0.0015  # names and numbers hardly ever end in a way with a lower share
 SPIKE, SPIKE_LEAST, LONGER = 6.0, 5, 0.002  # a limit: times the texts of the lengths below it, texts at least, share of longer texts at most
@@ -158,14 +159,15 @@ def _score(known, rates):
             rate, share = np.ones(len(n)), np.ones(len(n))
             has = np.flatnonzero(n > 0)
             at = ends[has]
-            r, done = np.zeros(len(has)), np.zeros(len(has), bool)
+            own = ~batch.column("at_limit").to_numpy(zero_copy_only=False)[has]  # whose ends were counted
+            r, done = np.ones(len(has)), np.zeros(len(has), bool)
             for c in reversed(contexts):
                 i = c[at] & mask
-                use = ~done & (seen[i] >= (LEAST_SEEN if c is not contexts[0] else 0))
-                r[use] = (ended[i] / np.maximum(seen[i], 1))[use]
+                others, other_ends = seen[i].astype(np.int64) - own, ended[i].astype(np.int64) - own
+                use = ~done & (others * END_RATE >= 1)
+                r[use] = (other_ends / np.maximum(others, 1))[use]
                 done |= use
-            last_word = contexts[0][at] & mask
-            never = ended[last_word] < LAST_WORD_RATE * seen[last_word]
+            never = (others * LAST_WORD_RATE >= 1) & (other_ends < LAST_WORD_RATE * others)  # the shortest context is the last word
             rate[has] = np.where(never, 0.0, r)
             p = seen[part[at] & mask] / np.maximum(seen[whole[at] & mask], 1)
             share[has] = np.where(rare[at] & (seen[whole[at] & mask] >= LEAST_SEEN), p, 1)

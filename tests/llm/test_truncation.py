@@ -57,3 +57,11 @@ def test_edges(spark):
     assert truncation.truncated(spark.createDataFrame([], schema)).count() == 0
     rows = [(0, 1, None, None), (0, 2, None, ""), (0, 3, "s", " "), (0, 4, "s", "word " * 50_000 + "end.")]
     assert {r["id"] for r in truncation.truncated(spark.createDataFrame(rows, schema)).collect()} <= {4}
+
+
+def test_own_end_and_rare_contexts(spark):
+    """A context of three words that other texts hold 100 times can't show a rate of 0.004; its last word can."""
+    rows = [f"The three musicians from the town play number {k} here." for k in range(100)] + [f"The {'red blue tiny old'.split()[k % 4]} boat from the town lies at place {k} here." for k in range(500)]
+    rows += ["The red boat lies here, and the three musicians from"]
+    df = spark.createDataFrame([(0, k, "s", t) for k, t in enumerate(rows)], "tbl int, id long, source string, text string")
+    assert [(r["id"], r["cause"]) for r in truncation.truncated(df).collect()] == [(600, "ending")]
