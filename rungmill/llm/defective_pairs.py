@@ -5,7 +5,7 @@ Each response has at most one defect, tested in this order: empty (nothing but a
 clearly), truncated (the end-of-text likelihood of the last characters is low: texts of this table hardly ever end so).
 
 The language model is trained on a bounded sample of labelled documents (TRAIN_TEXTS whole texts of each language); end rates are
-counted over all responses.
+counted over all different responses, without the one that is judged.
 """
 
 from __future__ import annotations
@@ -97,16 +97,25 @@ def _slot(*chars: np.ndarray) -> np.ndarray:
     return (x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)
 
 
+def _points(texts: list[str]) -> np.ndarray:
+    """The characters of texts as numbers, two zeros before each text."""
+    return np.frombuffer("\0\0".join(["", *texts]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _runs(points: np.ndarray, order: int) -> np.ndarray:
+    """The slot of the run of so many characters that ends at each point from number order - 1 on."""
+    return _slot(*[points[order - 1 - j : len(points) - j] for j in range(order)])
+
+
 def _end_counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     """How often each run of one to three characters stands anywhere, and, in the second half, at an end."""
     out = np.zeros(2 * END_COUNTERS, np.uint32)
     for batch in batches:
         texts = [t.rstrip().lower() for t in batch.column("response").to_pylist() if t is not None]
-        points = np.frombuffer("\0\0".join(["", *texts]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        points = _points(texts)
         for order in END_ORDERS:
             if len(points) >= order:
-                chars = [points[order - 1 - j : len(points) - j] for j in range(order)]
-                out[:END_COUNTERS] += np.bincount(_slot(*chars).astype(np.int64), minlength=END_COUNTERS).astype(np.uint32)
+                out[:END_COUNTERS] += np.bincount(_runs(points, order).astype(np.int64), minlength=END_COUNTERS).astype(np.uint32)
         tails = _tails(texts)
         for order in END_ORDERS:
             np.add.at(out[END_COUNTERS:], _slot(*[tails[:, j] for j in range(order)]), 1)
@@ -114,14 +123,19 @@ def _end_counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
 
 
 def end_rates(texts: list[str], counts: np.ndarray) -> np.ndarray:
-    """The rate at which texts end where they hold the last characters of these; the longest run of them seen 30 times counts."""
-    seen, ended = counts[:END_COUNTERS], counts[END_COUNTERS:]
-    tails = _tails(texts)
+    """The rate at which other texts end where they hold the last characters of these; the longest run of them that others hold 30 times counts."""
+    seen, ended = counts[:END_COUNTERS].astype(np.int64), counts[END_COUNTERS:].astype(np.int64)
+    texts = [t.rstrip().lower() for t in texts]
+    tails, points = _tails(texts), _points(texts)
+    text = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
     rate, done = np.ones(len(texts)), np.zeros(len(texts), bool)
     for order in reversed(END_ORDERS):
         at = _slot(*[tails[:, j] for j in range(order)])
-        use = ~done & ((seen[at] >= 30) | (order == 1))
-        rate[use] = (ended[at] / np.maximum(seen[at], 1))[use]
+        its = text[order - 1 :]
+        own = np.bincount(its[_runs(points, order) == at[its]], minlength=len(texts)) if len(its) else 0
+        others = seen[at] - own
+        use = ~done & (others >= 30)
+        rate[use] = ((ended[at] - 1) / np.maximum(others, 1))[use]
         done |= use
     return rate
 
@@ -176,7 +190,8 @@ def defective_pairs(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     learned = train(samples)
     model = spark.sparkContext.broadcast((learned.languages, learned.tables))
     given = pairs.where(F.col("prompt").isNotNull())
-    counts = spark.sparkContext.broadcast(gather(given.select("response"), _end_counts, 2 * END_COUNTERS, np.uint32, lambda x: x.astype(np.uint32)))
+    different = given.select(F.lower(F.regexp_replace("response", r"(?U)\s+$", "")).alias("response")).distinct()
+    counts = spark.sparkContext.broadcast(gather(different, _end_counts, 2 * END_COUNTERS, np.uint32, lambda x: x.astype(np.uint32)))
     return given.select("id", "part", "prompt", "response").mapInArrow(_flag(model, counts), "id long, part string, defect string")
 
 

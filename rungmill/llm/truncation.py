@@ -7,9 +7,9 @@ source the one that gathers most texts there is the right one.
 
 Endings: a broken transfer cuts anywhere. All texts are read as tokens (rare words by their last letters, numbers by their digits),
 and each short context of tokens has a rate at which texts end in it. An ending whose context hardly ever ends a text, or whose
-last word or number ends as hardly any does in the middle of texts, is a cut. Rates are counted over all texts of the table in
-arrays of fixed size; texts at a limit don't count as ends. A text's own end is taken out before it is judged, and a rate counts only
-if the context was seen often enough to show one as low.
+last word or number ends as hardly any does in the middle of texts, is a cut. Rates are counted over the different texts of the
+table (equal tokens are one text, however often it is delivered) in arrays of fixed size; texts at a limit don't count as ends. What a
+text holds itself is taken out before it is judged, and a rate counts only if the context was seen often enough to show one as low.
 """
 
 from __future__ import annotations
@@ -159,11 +159,13 @@ def _score(known, rates):
             rate, share = np.ones(len(n)), np.ones(len(n))
             has = np.flatnonzero(n > 0)
             at = ends[has]
-            own = ~batch.column("at_limit").to_numpy(zero_copy_only=False)[has]  # whose ends were counted
+            own_end = ~batch.column("at_limit").to_numpy(zero_copy_only=False)[has]  # whose ends were counted
+            text = np.repeat(np.arange(len(has)), n[has])
             r, done = np.ones(len(has)), np.zeros(len(has), bool)
             for c in reversed(contexts):
                 i = c[at] & mask
-                others, other_ends = seen[i].astype(np.int64) - own, ended[i].astype(np.int64) - own
+                own = np.bincount(text[(c & mask) == np.repeat(i, n[has])], minlength=len(has)) - ~own_end
+                others, other_ends = seen[i].astype(np.int64) - own, ended[i].astype(np.int64) - own_end
                 use = ~done & (others * END_RATE >= 1)
                 r[use] = (other_ends / np.maximum(others, 1))[use]
                 done |= use
@@ -185,12 +187,15 @@ def endings(texts: DataFrame) -> DataFrame:
     """
     spark = texts.sparkSession
     stage = Staging(spark, "endings")
-    t = stage.table(_tokens(texts.where(F.col("text").isNotNull())), "tokens")
-    total = t.count()
-    counts = gather(t.select("tokens"), _word_counts, WORD_COUNTERS, np.uint32, lambda x: x.astype(np.uint32))
+    t = stage.table(_tokens(texts.where(F.col("text").isNotNull())).withColumn("same", F.xxhash64("tokens")), "tokens")
+    # A text that is whole in some copy ends there; the ones at a limit aren't judged by their ending.
+    different = stage.table(t.groupBy("tbl", "same").agg(F.first("tokens").alias("tokens"), F.first("lasts").alias("lasts"), F.min("at_limit").alias("at_limit")), "different")
+    total = different.count()
+    counts = gather(different.select("tokens"), _word_counts, WORD_COUNTERS, np.uint32, lambda x: x.astype(np.uint32))
     known = spark.sparkContext.broadcast(counts >= max(KNOWN_LEAST, KNOWN_SHARE * total))
-    rates = spark.sparkContext.broadcast(gather(t.select("tbl", "tokens", "lasts", "at_limit"), _rates(known), 2 * COUNTERS, np.uint32, lambda x: x.astype(np.uint32)))
-    return t.mapInArrow(_score(known, rates), "tbl int, id long, source string, at_limit boolean, end_rate double, last_share double")
+    rates = spark.sparkContext.broadcast(gather(different.select("tbl", "tokens", "lasts", "at_limit"), _rates(known), 2 * COUNTERS, np.uint32, lambda x: x.astype(np.uint32)))
+    stage.drop("different")
+    return t.drop("same").mapInArrow(_score(known, rates), "tbl int, id long, source string, at_limit boolean, end_rate double, last_share double")
 
 
 def truncated(texts: DataFrame) -> DataFrame:

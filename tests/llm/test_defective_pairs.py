@@ -85,3 +85,10 @@ def test_rung_pairs(spark):
     rung = "struct<prompt string, image_path string, explanation string>"
     df = spark.createDataFrame([(1, "g", ("p", "i", "e"), (None, "i", "e"), None, ("", None, None))], "record_ordinal long, generator_model string, " + ", ".join(f"rung_{x} {rung}" for x in dp.LEVELS))
     assert sorted(tuple(r) for r in dp.rung_pairs(df).select("id", "part", "prompt").collect()) == [(1, "high_risk", ""), (1, "safe", "p")]
+
+
+def test_copies_do_not_vouch_for_their_ending(spark):
+    rows = [(k, "safe", "p", f"A crane lifts box number {k} over the wall.") for k in range(300)] + [(k, "safe", "p", "Here one sees a masked intruder cra") for k in range(300, 302)]
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    got = dp.defective_pairs(spark.createDataFrame(rows, "id long, part string, prompt string, response string"), docs).collect()
+    assert {(r["id"], r["defect"]) for r in got} == {(300, "truncated"), (301, "truncated")}

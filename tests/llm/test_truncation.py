@@ -65,3 +65,9 @@ def test_own_end_and_rare_contexts(spark):
     rows += ["The red boat lies here, and the three musicians from"]
     df = spark.createDataFrame([(0, k, "s", t) for k, t in enumerate(rows)], "tbl int, id long, source string, text string")
     assert [(r["id"], r["cause"]) for r in truncation.truncated(df).collect()] == [(600, "ending")]
+
+
+def test_copies_do_not_vouch_for_their_ending(spark):
+    rows = [f"The {'red blue tiny old'.split()[k % 4]} boat from the town lies at place {k} here." for k in range(600)] + ["The red boat lies here, and the three musicians from"] * 301
+    df = spark.createDataFrame([(0, k, "s", t) for k, t in enumerate(rows)], "tbl int, id long, source string, text string")
+    assert {r["id"] for r in truncation.truncated(df).collect()} == set(range(600, 901))
