@@ -12,7 +12,8 @@ candidates, never pairs. A bitmap of each word set goes with its keys and rules
 longer records that chose a larger m probe as well, so nothing is capped.
 
 Records of one word set are one class with one representative: copies do not multiply the join. Candidates are verified on the
-whole sets. Words are compared as 64-bit hashes.
+whole sets. Words are compared as 64-bit hashes. Pairs come out for every two different texts; only many records of exactly one text
+are stood for by their smallest id (near_duplicate_classes has who they are).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungmill.functions.text import words
@@ -320,14 +321,14 @@ def near_duplicate_pairs(texts: DataFrame, num: int = 7, den: int = 10, expand_l
     """(tbl, id_a, id_b): pairs of one table whose sets of distinct words have at least num/den of their union in common.
 
     texts: tbl int below 16, id bigint (unique in its table), text string. Null texts and texts without words are in no pair. The smaller
-    id stands first. Records of one word set form a class: classes of up to expand_limit records appear with all their pairs, inside
-    and across; the records of a larger class appear with its smallest id, which stands for the class in pairs with others. Equal
-    or short texts, ties and repeated words need no special care; an empty table gives an empty result.
+    id stands first. All pairs appear, but for those of records with exactly one text: if these are more than expand_limit they appear
+    with their smallest id, which stands for them in pairs with other texts (near_duplicate_classes lists them). Equal or short texts,
+    ties and repeated words need no special care; an empty table gives an empty result.
     """
     spark = texts.sparkSession
     sim = Similarity(num, den)
     stage = Staging(spark, "near")
-    sets = texts.where(F.col("text").isNotNull()).select("tbl", F.col("id").cast("long").alias("id"), F.array_distinct(F.transform(words(F.col("text")), lambda x: F.xxhash64(x))).alias("words"))
+    sets = texts.where(F.col("text").isNotNull()).select("tbl", F.col("id").cast("long").alias("id"), F.array_distinct(F.transform(words(F.col("text")), lambda x: F.xxhash64(x))).alias("words"), F.xxhash64("text").alias("same"))
     part = lambda seed: F.aggregate("words", F.lit(0).cast("long"), lambda acc, x: (acc + F.pmod(F.xxhash64(F.lit(seed), x), F.lit((1 << 61) - 1))) % F.lit((1 << 61) - 1))
     sets = stage.table(sets.where(F.size("words") > 0).withColumns({"sig0": part(0), "sig1": part(1)}), "sets")
     ranks = spark.sparkContext.broadcast(gather(sets.select("words"), _word_counts, WORD_COUNTERS, np.uint32, _rank))
@@ -364,28 +365,50 @@ def near_duplicate_pairs(texts: DataFrame, num: int = 7, den: int = 10, expand_l
     stage.drop("candidates")
 
     several = reps.where("copies > 1").select("tbl", "sig0", "sig1", F.col("id").alias("rep"), "copies")
-    members = stage.table(sets.select("tbl", "sig0", "sig1", "id").join(several, ["tbl", "sig0", "sig1"]).select("tbl", "rep", "id", "copies"), "members")
-    few = members.where(F.col("copies") <= expand_limit)
-    as_side = lambda name: few.select("tbl", F.col("rep").alias(f"{name}_id"), F.col("id").alias(f"{name}_member"))
+    members = stage.table(sets.select("tbl", "sig0", "sig1", "same", "id").join(several, ["tbl", "sig0", "sig1"]).select("tbl", "rep", "same", "id", "copies"), "members")
+    many = members.where(F.col("copies") > expand_limit)
+    equal = many.groupBy("tbl", "rep", "same").agg(F.min("id").alias("first"), F.count("*").alias("equal"))
+    many = stage.table(many.join(equal, ["tbl", "rep", "same"]).select("tbl", "rep", "id", "first", "equal"), "many")
+    shown = members.where(F.col("copies") <= expand_limit).select("tbl", "rep", "id").unionByName(many.where((F.col("equal") <= expand_limit) | (F.col("id") == F.col("first"))).select("tbl", "rep", "id"))
+    as_side = lambda name: shown.select("tbl", F.col("rep").alias(f"{name}_id"), F.col("id").alias(f"{name}_member"))
     across = pairs.join(as_side("long"), ["tbl", "long_id"], "left").join(as_side("short"), ["tbl", "short_id"], "left")
     x, y = F.coalesce("long_member", "long_id"), F.coalesce("short_member", "short_id")
     across = across.select("tbl", F.least(x, y).alias("id_a"), F.greatest(x, y).alias("id_b"))
-    inside = few.select("tbl", "rep", F.col("id").alias("id_a")).join(few.select("tbl", "rep", F.col("id").alias("id_b")), ["tbl", "rep"]).where("id_a < id_b").select("tbl", "id_a", "id_b")
-    star = members.where((F.col("copies") > expand_limit) & (F.col("id") != F.col("rep"))).select("tbl", F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+    inside = shown.select("tbl", "rep", F.col("id").alias("id_a")).join(shown.select("tbl", "rep", F.col("id").alias("id_b")), ["tbl", "rep"]).where("id_a < id_b").select("tbl", "id_a", "id_b")
+    star = many.where((F.col("equal") > expand_limit) & (F.col("id") != F.col("first"))).select("tbl", F.col("first").alias("id_a"), F.col("id").alias("id_b"))
     return across.unionByName(inside).unionByName(star)
 
 
+def near_duplicate_classes(texts: DataFrame, expand_limit: int = 64) -> DataFrame:
+    """(tbl, id, class_id): the records of every text that more than expand_limit records of a table have, with their smallest id.
+
+    In near_duplicate_pairs class_id stands for them: all of them are pairs of one another, and of whatever class_id is a pair of.
+    """
+    keyed = texts.where(F.col("text").isNotNull() & (F.size(words(F.col("text"))) > 0)).select("tbl", F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("same0"), F.xxhash64(F.lit(1), "text").alias("same1"))
+    key = ["tbl", "same0", "same1"]
+    large = keyed.groupBy(*key).agg(F.min("id").alias("class_id"), F.count("*").alias("equal")).where(F.col("equal") > expand_limit).select(*key, "class_id")
+    return keyed.join(large, key).select("tbl", "id", "class_id")
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds, meta = spark.read.parquet(f"{sf_dir}/seeds.parquet"), spark.read.parquet(f"{sf_dir}/metadata.parquet")
     one = seeds.select(F.lit(0).alias("tbl"), F.col("record_ordinal").alias("id"), F.col("prompt_safe").alias("text"))
     return one.unionByName(meta.select(F.lit(1).alias("tbl"), F.col("record_ordinal").alias("id"), F.col("prompt_unsafe").alias("text")))
 
 
+def _name() -> Column:
+    return F.when(F.col("tbl") == 0, "seeds").otherwise("metadata").alias("table_name")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """table_name, id_a, id_b over all of seeds and metadata, at 0.7."""
-    name = F.when(F.col("tbl") == 0, "seeds").otherwise("metadata").alias("table_name")
-    return near_duplicate_pairs(_texts(spark, sf_dir)).select(name, "id_a", "id_b")
+    return near_duplicate_pairs(_texts(spark, sf_dir)).select(_name(), "id_a", "id_b")
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """table_name, record_ordinal, class_ordinal of the equal prompts that p1_found has as pairs of their smallest ordinal alone."""
+    return near_duplicate_classes(_texts(spark, sf_dir)).select(_name(), F.col("id").alias("record_ordinal"), F.col("class_id").alias("class_ordinal"))
 
 
-QUERIES = {"p1_found": p1_found}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
 ORACLE: dict[str, str] = {}

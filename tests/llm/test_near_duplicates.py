@@ -69,6 +69,21 @@ def test_large_classes_are_stars(spark):
     assert run(spark, rows, expand_limit=3) == {(0, 0, k) for k in range(1, 6)} | {(0, 0, 9)}
 
 
+def test_only_equal_texts_are_stars(spark):
+    """Other orders and spellings of a word set keep all their pairs; with the classes the pairs of equal texts can be rebuilt."""
+    w = "one two three four five six seven".split()
+    rows = [(0, k, " ".join(w[k:] + w[:k])) for k in range(6)] + [(0, k, " ".join(w).upper()) for k in range(10, 15)] + [(0, 20, " ".join(w[:6])), (0, 21, "other"), (0, 22, "?!"), (0, 23, "?!")]
+    shown = [*range(6), 10]
+    got = run(spark, rows, expand_limit=4)
+    assert got == {(0, a, b) for a in shown for b in shown if a < b} | {(0, a, 20) for a in shown} | {(0, 10, k) for k in range(11, 15)}
+    df = spark.createDataFrame(rows, "tbl int, id long, text string")
+    classes = [tuple(r) for r in nd.near_duplicate_classes(df, 4).collect()]
+    assert sorted(classes) == [(0, k, 10) for k in range(10, 15)]
+    members = {10: range(10, 15)}
+    whole = {(0, min(x, y), max(x, y)) for _, a, b in got | {(0, 10, 10)} for x in members.get(a, [a]) for y in members.get(b, [b]) if x != y}
+    assert whole == brute(rows, 7, 10)
+
+
 def test_prefix_lengths():
     sim = nd.Similarity(7, 10)
     n = np.arange(1, 200)
