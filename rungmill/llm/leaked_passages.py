@@ -1,8 +1,8 @@
 """Passages of held-out items inside a corpus (problem 8).
 
 Spaced seeds: a mask looks at some words of a window and ignores the others, so a window is found even if ignored words were
-replaced. Masked windows of items and documents are joined on their hashes; around each hit the two texts are compared word by
-word along the diagonal, which gives the longest run of equal words and, tolerating single replaced words, the overlap as a whole.
+replaced. Masked windows of items and documents are joined on their hashes; of each hit the two texts are compared word by word along
+the whole diagonal, which gives the longest run of equal words and, tolerating single replaced words, all overlaps.
 
 The masks span no more words than the shortest passage reported, so every such passage has a hit. Documents emit only windows whose
 hash is in a bitmap of all item windows; the bitmap has a fixed size, and the join after it is exact.
@@ -56,7 +56,7 @@ _OVERLAP = "doc_id long, item_id long, longest_run int, matched_words int, item_
 
 
 def _compare(least: int):
-    """Longest run of equal words of a diagonal, and the words that match around it with no two replaced words in a row."""
+    """Of a diagonal's overlaps (runs with no two replaced words in a row) of so many equal words: the longest run, and the equal words of the best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,14 +69,11 @@ def _compare(least: int):
                 a = iv[i0[k] + lo : i0[k] + hi] == dv[d0[k] + lo + shift[k] : d0[k] + hi + shift[k]]
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], a.view(np.int8), [0]])))
                 start, end = edge[::2], edge[1::2]
-                best = int(np.argmax(end - start)) if len(start) else -1
-                runs.append(int(end[best] - start[best]) if best >= 0 else 0)
-                first = last = best
-                while best >= 0 and first > 0 and start[first] - end[first - 1] <= 1:
-                    first -= 1
-                while best >= 0 and last + 1 < len(start) and start[last + 1] - end[last] <= 1:
-                    last += 1
-                total.append(int((end[first : last + 1] - start[first : last + 1]).sum()) if best >= 0 else 0)
+                equal = end - start
+                chains = np.flatnonzero(np.concatenate([[True], start[1:] - end[:-1] > 1])) if len(start) else np.zeros(0, np.int64)
+                sums, longest = (f.reduceat(equal, chains) if len(start) else equal for f in (np.add, np.maximum))
+                runs.append(int(longest[sums >= least].max(initial=0)))
+                total.append(int(sums.max(initial=0)))
             keep = pa.array(np.array(total) >= least) if total else pa.array([], pa.bool_())
             out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(runs, pa.int32()), pa.array(total, pa.int32()), pa.array(im, pa.int32())], ["doc_id", "item_id", "longest_run", "matched_words", "item_words"])
             yield out.filter(keep)
@@ -87,10 +84,10 @@ def _compare(least: int):
 def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 10) -> DataFrame:
     """(doc_id, item_id, longest_run, matched_words, item_words): documents that hold a passage of an item.
 
-    documents: doc_id, text; items: item_id, text. longest_run is the longest row of consecutive equal words, matched_words counts the
-    equal words of the overlap around it, in which single words may be replaced; overlaps with fewer than ``least`` equal words are left
-    out. Of several overlaps of one document and item the one with the longest run counts. Words are compared as 64-bit hashes,
-    whatever stands between them. Null and empty texts and items of fewer than ten words have no overlap.
+    documents: doc_id, text; items: item_id, text. longest_run is the longest row of consecutive equal words in an overlap, matched_words counts the
+    equal words of the best overlap, in which single words may be replaced; overlaps with fewer than ``least`` equal words are left out.
+    Of several overlaps of one document and item the longest run and the most equal words count, each by itself. Words are compared as
+    64-bit hashes, whatever stands between them. Null and empty texts and items of fewer than ten words have no overlap.
     """
     spark = documents.sparkSession
     hashed = lambda df, name: df.where(F.col("text").isNotNull()).select(F.col(name).cast("long").alias("id"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("words"))
@@ -102,8 +99,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 10) ->
     hits = hits.join(docs.select(F.col("id").alias("doc_id"), F.col("words").alias("doc_words")), "doc_id")
     hits = hits.join(tests.select(F.col("id").alias("item_id"), F.col("words").alias("item_words")), "item_id")
     found = hits.mapInArrow(_compare(least), _OVERLAP)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("longest_run", "matched_words", "item_words")).alias("x"))
-    return best.select("doc_id", "item_id", "x.*")
+    return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("longest_run", "matched_words", "item_words")))
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +112,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All overlaps of at least ten equal words, single replaced words tolerated, with their share of the item."""
+    """Documents and items with overlaps of at least ten equal words, single replaced words tolerated: longest run, best overlap and its share of the item."""
     x = leaked_passages(*_tables(spark, sf_dir))
     return x.select("doc_id", "item_id", "longest_run", "matched_words", F.round(F.col("matched_words") / F.col("item_words"), 4).alias("item_share"))
 

@@ -49,6 +49,17 @@ def test_replaced_words(spark):
     assert got[(1, 5)]["longest_run"] == 7 and got[(1, 5)]["matched_words"] == 27
 
 
+def test_all_overlaps_of_a_diagonal(spark):
+    item = [f"a{k}" for k in range(60)]
+
+    def kept(*runs):
+        return " ".join(w if any(lo <= k < hi for lo, hi in runs) else f"x{k}" for k, w in enumerate(item))
+
+    docs = [(1, kept((0, 8), (10, 15), (16, 21), (22, 27))), (2, kept((0, 12), (20, 28), (29, 37), (38, 46))), (3, kept((0, 10), (12, 20)))]
+    got = run(spark, docs, [(5, " ".join(item))])
+    assert {k[0]: (r["longest_run"], r["matched_words"]) for k, r in got.items()} == {1: (5, 15), 2: (12, 24), 3: (10, 10)}
+
+
 def test_edges(spark):
     item = " ".join(f"a{k}" for k in range(12))
     nine = " ".join(f"a{k}" for k in range(9))
