@@ -4,8 +4,10 @@ Spaced seeds: a mask looks at some words of a window and ignores the others, so
 replaced. Masked windows of items and documents are joined on their hashes; of each hit the two texts are compared word by word along
 the whole diagonal, which gives the longest run of equal words and, tolerating single replaced words, all overlaps.
 
-The masks span no more words than the shortest passage reported, so every such passage has a hit. Documents emit only windows whose
-hash is in a bitmap of all item windows; the bitmap has a fixed size, and the join after it is exact.
+The masks span no more words than the shortest passage reported, so every such passage has a hit. An overlap with replaced words is
+found only if some window of it fits a mask: if every second, third or fifth word is replaced (one, two or four equal words between)
+none does, however long it is, and some overlaps with irregular gaps of up to five equal words are missed too. Documents emit only
+windows whose hash is in a bitmap of all item windows; the bitmap has a fixed size, and the join after it is exact.
 """
 
 from __future__ import annotations
@@ -85,8 +87,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 10) ->
     """(doc_id, item_id, longest_run, matched_words, item_words): documents that hold a passage of an item.
 
     documents: doc_id, text; items: item_id, text. longest_run is the longest row of consecutive equal words in an overlap, matched_words counts the
-    equal words of the best overlap, in which single words may be replaced; overlaps with fewer than ``least`` equal words are left out.
-    Of several overlaps of one document and item the longest run and the most equal words count, each by itself. Words are compared as
+    equal words of the best overlap, in which single words may be replaced; overlaps with fewer than ``least`` equal words are left out,
+    and so are those that fit neither mask anywhere (see above). Of several overlaps of one document and item the longest run and the most equal words count, each by itself. Words are compared as
     64-bit hashes, whatever stands between them. Null and empty texts and items of fewer than ten words have no overlap.
     """
     spark = documents.sparkSession
