@@ -195,7 +195,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id of documents with abusive, hateful or sexual wording."""
+    """doc_id of documents with abusive, hateful or sexual wording: a score of at least THRESHOLD, and a sentence of at least half of it."""
     return _scored(spark, sf_dir).where((F.col("score") >= THRESHOLD) & (F.col("worst_score") >= THRESHOLD / 2)).select("doc_id")
 
 
@@ -205,7 +205,7 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and unfit documents of each source."""
+    """Documents and unfit documents (as in p9_found) of each source."""
     x = _scored(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_documents"), F.count_if((F.col("score") >= THRESHOLD) & (F.col("worst_score") >= THRESHOLD / 2)).alias("n_unfit"))
     return x.withColumn("unfit_share", F.round(F.col("n_unfit") / F.col("n_documents"), 6))
 
