@@ -36,6 +36,11 @@ def scene_context(category: Column, batch: Column, seed: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in SCENE_CONTEXTS]), (at + 1).cast("int"))
 
 
+def or_default(n: Column, default: Column) -> Column:
+    """The number, or the default if it is null or zero."""
+    return F.coalesce(F.nullif(n, F.lit(0)), default)
+
+
 def safe_relative(path: Column) -> Column:
     """The path if it is relative and stays below its root; absolute paths and '..' parts give null."""
     bad = path.rlike(r"^(/|\\|[A-Za-z]:)") | path.rlike(r"(^|[/\\])\.\.([/\\]|$)")

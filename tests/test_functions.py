@@ -68,3 +68,8 @@ def test_scene_context_is_stable(spark):
 
 def test_free_names(spark):
     assert names.free(spark.createDataFrame([], "place int, _Place int, a int"), "place", "b") == ["__place", "b"]
+
+
+@pytest.mark.parametrize(("n", "want"), [(3, 3), (0, 8), (None, 8), (-1, -1)])
+def test_or_default(spark, n, want):
+    assert one(spark, identity.or_default(F.col("a").cast("int"), F.lit(8)), a=n) == want
