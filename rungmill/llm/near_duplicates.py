@@ -6,10 +6,16 @@ candidates it would meet with m = 1, 2, ... and takes the cheapest. A record tha
 lengthens its prefix and demands that m words match together.
 
 The demand is made before candidates arise: a join key is a combination of m prefix words, so a key shared is m words shared. The
-longer record of a pair probes with keys of its own m; the shorter one offers keys for every m. Frequencies, the number of
-offers of a key and the set of probed keys are held in sketches of fixed size (parameters below); their collisions cost
-candidates, never pairs. A bitmap of each word set goes with its keys and rules out most candidates within the join. Records that would offer too many combinations offer single words under a key of their own, which the
-longer records that chose a larger m probe as well, so nothing is capped.
+longer record of a pair probes with keys of its own m; the shorter one offers keys for every m. A key also names the size of the
+shorter word set: the place of the last of the m words tells how many words the longer record has passed without a match, hence
+which sizes the other may still have. Records that would offer too many combinations offer single words under a key of their own, which
+the longer records that chose a larger m probe as well, so nothing is capped.
+
+Keys that have no partner are left out before the shuffle: bitmaps hold the keys offered and, then, those asked for. A bitmap has
+BITS_PER_RECORD bits for each record; where this is more than KEY_BITS the keys are dealt to ranges, and each range has a pass and a
+bitmap of its own, so bitmaps do not fill up as the table grows. A bitmap of each word set goes with its keys and rules out most
+candidates within the join. Estimates come from counters of fixed size, less what other keys add to a counter on average. Collisions
+in any of these cost candidates, never pairs.
 
 Records of one word set are one class with one representative: copies do not multiply the join. Candidates are verified on the
 whole sets. Words are compared as 64-bit hashes. Pairs come out for every two different texts; only many records of exactly one text
@@ -28,21 +34,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungmill.functions.text import words
-from rungmill.llm.sketches import as_lists, gather, gather_bits, is_marked, is_set, lists, mix, pack, places, set_bits
+from rungmill.llm.sketches import as_lists, bitmap_words, gather, gather_bits, is_marked, is_set, lists, mix, pack, places
 from rungmill.plans.staging import Staging
 
 WORD_COUNTERS = 1 << 22
 KEY_COUNTERS = 1 << 22
-PAIR_BITS, PAIR_BITS_LEAST = 1 << 28, 1 << 22  # 256 for each record between these bounds
 WORD_SLOTS = 1 << 26  # of which two counts are told apart: once, more often
-KEY_BITS, KEY_BITS_LEAST = 1 << 28, 1 << 22  # 256 for each record between these bounds
+KEY_BITS, BITS_PER_RECORD = 1 << 29, 192  # the largest bitmap of one pass, and what a record needs: some 15 keys of four bits, a quarter of them set
 ID_BITS = 1 << 26
 MOST_WORDS = 2  # the largest m
-RARE = 64  # words of fewer records are rare; combinations with one are told apart by presence alone, others are counted
 MOST_OFFERS = 1024  # combinations of one m that a record offers; beyond, single words under a key of their own
+EXACT_SIZES, SIZE_STEP = 32, 1.05  # sizes up to the first are told apart one by one, larger ones in classes of this ratio
 SET_BITS = 40  # bits of a word set's bitmap that share a bigint with its table (4 bits) and number of words (20); 64 more follow
 MOST_COUNTED = (1 << 20) - 1
-KEY_COST = 10.0  # a probed key, made and shuffled, against a row that a key meets in the join
+KEY_COST = 0.05  # of looking up a key, against a row that a key meets in the join
 
 
 class Similarity:
@@ -72,10 +77,10 @@ def _rank(counts: np.ndarray) -> np.ndarray:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    counts = np.zeros(WORD_COUNTERS, np.uint32)
+    counts = np.zeros(WORD_COUNTERS, np.uint64)
     for batch in batches:
         values, _ = lists(batch.column("words"))
-        np.add.at(counts, values.view(np.uint64) & np.uint64(WORD_COUNTERS - 1), 1)
+        np.add.at(counts, values.view(np.uint64) & np.uint64(WORD_COUNTERS - 1), np.uint64(1))
     return counts
 
 
@@ -87,8 +92,13 @@ def _word_repeats(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     return seen
 
 
-def _prefixes(ranks, repeats, sim: Similarity):
-    """Words that occur again, of the longest prefix that any m needs, in order, and how many of them each prefix has."""
+def _size_class(n: np.ndarray) -> np.ndarray:
+    n = np.minimum(n, MOST_COUNTED)
+    return np.where(n <= EXACT_SIZES, n, EXACT_SIZES + (np.log(np.maximum(n, EXACT_SIZES) / EXACT_SIZES) / np.log(SIZE_STEP)).astype(np.int64))
+
+
+def _prefixes(ranks, repeats, sim: Similarity, several):
+    """Words that occur again, of the longest prefix that any m needs, in order, with their places; maybe: whether other records may have the same words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = ranks.value
@@ -98,23 +108,20 @@ def _prefixes(ranks, repeats, sim: Similarity):
             doc = np.repeat(np.arange(len(n)), n)
             rank = rank_of[values.view(np.uint64) & np.uint64(WORD_COUNTERS - 1)]
             order = np.lexsort((values, rank, doc))
-            values, rank = values[order], rank[order]
+            values = values[order]
             place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
             keep = (place < np.repeat(sim.probe_length(n, MOST_WORDS), n)) & is_set(repeats.value, values.view(np.uint64) & np.uint64(WORD_SLOTS - 1))
             kept = np.bincount(doc[keep], minlength=len(n))
-            rare = np.bincount(doc[keep & (rank < RARE)], minlength=len(n))
             slot = (mix(values.view(np.uint64)) >> np.uint64(32)) * np.uint64(SET_BITS + 64) // np.uint64(1 << 32)
             first = slot < np.uint64(SET_BITS)
             starts = np.cumsum(n) - n
             bits = np.bitwise_or.reduceat(np.where(first, np.uint64(0), np.uint64(1) << (np.where(first, slot, slot - np.uint64(SET_BITS)))), starts)
             table = batch.column("tbl").to_numpy(zero_copy_only=False).astype(np.uint64)
             card = np.bitwise_or.reduceat(np.where(first, np.uint64(1) << np.where(first, slot, np.uint64(0)), np.uint64(0)), starts) | (table << np.uint64(SET_BITS)) | (np.minimum(n, MOST_COUNTED).astype(np.uint64) << np.uint64(SET_BITS + 4))
-            counted = [np.bincount(doc[keep & (place < np.repeat(length(n, m), n))], minlength=len(n)) for m in range(1, MOST_WORDS + 1) for length in (sim.offer_length, sim.probe_length)]
             short = (mix(values[keep].view(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)  # keys alone are made of these
-            names = ["tbl", "id", "sig0", "sig1"]
-            numbers = [pa.array(n, pa.int32()), pa.array(card.view(np.int64)), pa.array(bits.view(np.int64)), pa.array(rare, pa.int32())]
-            arrays = [as_lists(short, kept, pa.int32()), as_lists(np.stack(counted, axis=1).ravel().astype(np.int32), np.full(len(n), 2 * MOST_WORDS), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *numbers, *arrays], [*names, "n", "card", "bits", "rare", "prefix", "counted"])
+            numbers = [pa.array(n, pa.int32()), pa.array(card.view(np.int64)), pa.array(bits.view(np.int64)), pa.array(is_marked(several.value, _ids(batch, "sig0")))]
+            arrays = [as_lists(short, kept, pa.int32()), as_lists(place[keep].astype(np.int32), kept, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("tbl"), batch.column("id"), *numbers, *arrays], ["tbl", "id", "n", "card", "bits", "maybe", "prefix", "places"])
 
     return run
 
@@ -127,103 +134,118 @@ def _groups(starts: np.ndarray, tokens: np.ndarray, usable: np.ndarray):
             yield int(k), rows, tokens[starts[rows][:, None] + np.arange(k)[None, :]]
 
 
-def _keys(starts: np.ndarray, tokens: np.ndarray, usable: np.ndarray, m: int, most: int | None, own: np.ndarray | None = None, rare: np.ndarray | None = None):
-    """(rows, keys, heavy, mine, unusual): all combinations of m of each row's first usable words; the rows that have more than most of them; whether only the row's first own words take part; whether one of its first rare words does."""
-    rows_out, keys_out, heavy, mine, unusual = [], [], [], [], []
-    for k, rows, matrix in _groups(starts, tokens, usable):
-        if k < m:
-            continue
-        if most is not None and comb(k, m) > most:
-            heavy.append(rows)
-            continue
-        for chunk in range(0, len(rows), max(1, 200_000 // comb(k, m))):
-            sub = matrix[chunk : chunk + max(1, 200_000 // comb(k, m))]
+class _Keys:
+    """Combinations of m prefix words of a batch of representatives: rows, keys without a size, and the place of the last word of each."""
+
+    def __init__(self, batch: pa.RecordBatch, sim: Similarity):
+        self.sim = sim
+        self.n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+        values, lengths = lists(batch.column("prefix"))
+        self.places = lists(batch.column("places"))[0].astype(np.int64)
+        tbl = np.repeat(batch.column("tbl").to_numpy(zero_copy_only=False).astype(np.uint64), lengths)
+        self.tokens = mix(values.view(np.uint32).astype(np.uint64) + ((tbl + np.uint64(1)) << np.uint64(40)))
+        self.doc = np.repeat(np.arange(len(self.n)), lengths)
+        self.starts = np.cumsum(lengths) - lengths
+
+    def usable(self, length, m: int) -> np.ndarray:
+        """How many words of each record's prefix for m count."""
+        return np.bincount(self.doc[self.places < length(self.n, m)[self.doc]], minlength=len(self.n))
+
+    def combine(self, usable: np.ndarray, m: int, most: int | None = None):
+        """(rows, keys, places of the last words, rows with more than most combinations, which have none here)."""
+        rows_out, keys_out, last_out, heavy = [], [], [], []
+        for k, rows, matrix in _groups(self.starts, self.tokens, usable):
+            if k < m:
+                continue
+            if most is not None and comb(k, m) > most:
+                heavy.append(rows)
+                continue
             at = np.array(list(combinations(range(k), m)))
-            total = sub[:, at].sum(axis=2, dtype=np.uint64) if m > 1 else sub
-            keys_out.append(mix(total + np.uint64(m)).ravel())
-            rows_out.append(np.repeat(part := rows[chunk : chunk + len(sub)], len(at)))
-            if own is not None:
-                mine.append((at.max(axis=1)[None, :] < own[part][:, None]).ravel())
-            if rare is not None:
-                unusual.append((at.min(axis=1)[None, :] < rare[part][:, None]).ravel())
-    none = np.zeros(0, np.int64)
-    both = lambda x, kind: np.concatenate(x) if x else none.astype(kind)
-    return both(rows_out, np.int64), both(keys_out, np.uint64), both(heavy, np.int64), both(mine, bool), both(unusual, bool)
-
-
-def _read(batch: pa.RecordBatch):
-    """(sizes, starts, mixed words, usable) of a batch of representatives; usable("offer" or "probe", m): how many words of each prefix count."""
-    n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-    values, lengths = lists(batch.column("prefix"))
-    counted = lists(batch.column("counted"))[0].reshape(-1, 2 * MOST_WORDS).astype(np.int64)
-    tbl = np.repeat(batch.column("tbl").to_numpy(zero_copy_only=False).astype(np.uint64), lengths)
-    tokens = mix(values.view(np.uint32).astype(np.uint64) + ((tbl + np.uint64(1)) << np.uint64(40)))
+            step = max(1, 200_000 // len(at))
+            for chunk in range(0, len(rows), step):
+                part, sub = rows[chunk : chunk + step], matrix[chunk : chunk + step]
+                keys_out.append(mix(sub[:, at].sum(axis=2, dtype=np.uint64) + np.uint64(m)).ravel())
+                rows_out.append(np.repeat(part, len(at)))
+                last_out.append(self.places[self.starts[part][:, None] + at[:, -1][None, :]].ravel())
+        both = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        return both(rows_out, np.int64), both(keys_out, np.uint64), both(last_out, np.int64), both(heavy, np.int64)
+
+    def offers(self):
+        """(rows, keys) for every m, and single words under keys of their own for rows with too many combinations."""
+        rows, keys, many = [], [], np.zeros(len(self.n), bool)
+        for m in range(1, MOST_WORDS + 1):
+            r, k, _, heavy = self.combine(self.usable(self.sim.offer_length, m), m, MOST_OFFERS if m > 1 else None)
+            rows.append(r), keys.append(k)
+            many[heavy] = True
+        r, k, _, _ = self.combine(np.where(many, self.usable(self.sim.offer_length, 1), 0), 1)
+        return np.concatenate([*rows, r]), np.concatenate([*keys, mix(k ^ _OWN)])
+
+    def probes(self, counters: np.ndarray, noise: float):
+        """(rows, keys, places of the last words, m) with the m that each record finds cheapest."""
+        best, chosen, kept = np.full(len(self.n), np.inf), np.ones(len(self.n), np.int64), []
+        for m in range(1, MOST_WORDS + 1):
+            rows, keys, last, heavy = self.combine(self.usable(self.sim.probe_length, m), m, MOST_OFFERS if m > 1 else None)
+            mine = last < self.sim.offer_length(self.n, m)[rows]
+            met = counters[keys & np.uint64(KEY_COUNTERS - 1)].astype(np.float64) - mine - noise
+            cost = np.maximum(np.bincount(rows, met, minlength=len(self.n)), 0) + np.bincount(rows, minlength=len(self.n)) * KEY_COST
+            cost[self.sim.most_words(self.n) < m] = np.inf
+            cost[heavy] = np.inf
+            better = cost < best
+            best[better], chosen[better] = cost[better], m
+            kept.append((rows, keys, last, np.full(len(rows), m)))
+        rows, keys, last, size = (np.concatenate([x[j][chosen[x[0]] == m] for m, x in enumerate(kept, 1)]) for j in range(4))
+        # The least size of a record with too many combinations; longer records that ask for more words probe its single words.
+        least = np.arange(1, 4096)
+        over = np.zeros(len(least), bool)
+        for m in range(2, MOST_WORDS + 1):
+            over |= np.array([comb(int(k), m) for k in self.sim.offer_length(least, m)], dtype=np.float64) > MOST_OFFERS
+        bound = int(least[over][0]) if over.any() else 1 << 40
+        r, k, p, _ = self.combine(np.where((chosen > 1) & (self.n >= bound), self.usable(self.sim.probe_length, 1), 0), 1)
+        return np.concatenate([rows, r]), np.concatenate([keys, mix(k ^ _OWN)]), np.concatenate([last, p]), np.concatenate([size, np.ones(len(r), np.int64)])
 
-    def usable(side: str, m: int) -> np.ndarray:
-        return counted[:, 2 * (m - 1) + (side == "probe")]
 
-    return n, np.cumsum(lengths) - lengths, tokens, usable
+_OWN = np.uint64(0xA24BAED4963EE407)  # turns the key of a single word into the one of records with too many combinations
 
 
-_OWN = np.uint64(0xA24BAED4963EE407)  # turns the key of a single word into the one of records with too many combinations
+def _sized(keys: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return mix(keys + (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _own_offers(n, starts, tokens, usable, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """Single words, under keys of their own, of the rows that have too many combinations."""
-    many = np.zeros(len(n), bool)
-    for m in range(2, MOST_WORDS + 1):
-        k = usable("offer", m)
-        many |= np.array([comb(int(x), m) > MOST_OFFERS for x in np.unique(k)], bool)[np.unique(k, return_inverse=True)[1]] if len(k) else False
-    r, k, *_ = _keys(starts, tokens, np.where(many, usable("offer", 1), 0), 1, None)
-    return r, mix(k ^ _OWN)
+def _in_range(keys: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Ranges of keys without sizes; a pass deals with one of them."""
+    return (mix(keys) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32) == part
 
 
-def _offers(batch: pa.RecordBatch, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    n, starts, tokens, usable = _read(batch)
-    rows, keys = [], []
-    for m in range(1, MOST_WORDS + 1):
-        r, k, *_ = _keys(starts, tokens, usable("offer", m), m, MOST_OFFERS if m > 1 else None)
-        rows.append(r), keys.append(k)
-    r, k = _own_offers(n, starts, tokens, usable, sim)
-    rows.append(r), keys.append(k)
-    return np.concatenate(rows), np.concatenate(keys)
+def _offers(batch: pa.RecordBatch, sim: Similarity, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    k = _Keys(batch, sim)
+    rows, keys = k.offers()
+    if parts > 1:
+        mine = _in_range(keys, part, parts)
+        rows, keys = rows[mine], keys[mine]
+    return rows, _sized(keys, _size_class(k.n)[rows])
 
 
 def _offer_counts(sim: Similarity):
-    """Offers of single words and of combinations without a rare word."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        counts = np.zeros(KEY_COUNTERS, np.uint32)
+        counts = np.zeros(KEY_COUNTERS, np.uint64)
         for batch in batches:
-            n, starts, tokens, usable = _read(batch)
-            rare = batch.column("rare").to_numpy(zero_copy_only=False)
-            for m in range(1, MOST_WORDS + 1):
-                _, keys, _, _, unusual = _keys(starts, tokens, usable("offer", m), m, MOST_OFFERS if m > 1 else None, rare=rare)
-                np.add.at(counts, keys[(m == 1) | ~unusual] & np.uint64(KEY_COUNTERS - 1), 1)
-            _, keys = _own_offers(n, starts, tokens, usable, sim)
-            np.add.at(counts, keys & np.uint64(KEY_COUNTERS - 1), 1)
+            counts += np.bincount((_Keys(batch, sim).offers()[1] & np.uint64(KEY_COUNTERS - 1)).astype(np.int64), minlength=KEY_COUNTERS).astype(np.uint64)
         return counts
 
     return run
 
 
-def _seen_twice(sim: Similarity, bits: int):
-    """Combinations with a rare word that are offered at all and, in every other byte, that are offered more than once."""
+def _seen_twice(sim: Similarity, n_words: int, part: int, parts: int):
+    """Keys that are offered at all and, in every other word, keys that are offered more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(bits // 4, np.uint8)
+        out = np.zeros(2 * n_words, np.uint64)
         once, again = out[::2], out[1::2]
         for batch in batches:
-            n, starts, tokens, usable = _read(batch)
-            rare = batch.column("rare").to_numpy(zero_copy_only=False)
-            for m in range(2, MOST_WORDS + 1):
-                _, keys, _, _, unusual = _keys(starts, tokens, usable("offer", m), m, MOST_OFFERS, rare=rare)
-                keys, times = np.unique(keys[unusual], return_counts=True)
-                more = (times > 1) | is_marked(once, keys)
-                for at in places(keys[more], bits):
-                    set_bits(again, at)
-                for at in places(keys, bits):
-                    set_bits(once, at)
+            keys, times = np.unique(_offers(batch, sim, part, parts)[1], return_counts=True)
+            more = (times > 1) | is_marked(once, keys)
+            np.bitwise_or.at(again, *places(keys[more], n_words))
+            np.bitwise_or.at(once, *places(keys, n_words))
         return out
 
     return run
@@ -235,47 +257,37 @@ def _merge_twice(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _probes(batch: pa.RecordBatch, sim: Similarity, offered: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, keys) with the m that each record finds cheapest; keys that nobody else can have offered are left out."""
-    n, starts, tokens, usable = _read(batch)
-    rare = batch.column("rare").to_numpy(zero_copy_only=False)
-    best, chosen = np.full(len(n), np.inf), np.ones(len(n), np.int64)
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    for m in range(1, MOST_WORDS + 1):
-        rows, keys, heavy, mine, unusual = _keys(starts, tokens, usable("probe", m), m, MOST_OFFERS if m > 1 else None, usable("offer", m), rare)
-        met = offered[keys & np.uint64(KEY_COUNTERS - 1)].astype(np.float64) - mine
-        if m > 1:
-            met = np.where(unusual, np.where(mine, is_marked(pairs[1::2], keys), is_marked(pairs[::2], keys)), met)
-        cost = np.bincount(rows, met, minlength=len(n)) + np.bincount(rows, met > 0, minlength=len(n)) * KEY_COST
-        cost[(sim.most_words(n) < m)] = np.inf
-        cost[heavy] = np.inf
-        better = cost < best
-        best[better], chosen[better] = cost[better], m
-        kept.append((rows[met > 0], keys[met > 0]))
-    rows = [r[chosen[r] == m] for m, (r, _) in enumerate(kept, 1)]
-    keys = [k[chosen[r] == m] for m, (r, k) in enumerate(kept, 1)]
-    # The least size of a record with too many combinations; longer records that ask for more words probe its single words.
-    least = np.arange(1, 4096)
-    over = np.zeros(len(least), bool)
-    for m in range(2, MOST_WORDS + 1):
-        over |= np.array([comb(int(k), m) for k in sim.offer_length(least, m)], dtype=np.float64) > MOST_OFFERS
-    bound = int(least[over][0]) if over.any() else 1 << 40
-    if len(ask := np.flatnonzero((chosen > 1) & (n >= bound))):
-        single = usable("probe", 1)
-        only = np.zeros_like(single)
-        only[ask] = single[ask]
-        r, k, *_ = _keys(starts, tokens, only, 1, None)
-        k = mix(k ^ _OWN)
-        met = offered[k & np.uint64(KEY_COUNTERS - 1)] > 0
-        rows.append(r[met]), keys.append(k[met])
-    return np.concatenate(rows), np.concatenate(keys)
-
-
-def _probe_rows(sim: Similarity, offered, pairs):
+def _probes(batch: pa.RecordBatch, sim: Similarity, counters: np.ndarray, noise: float, offered: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, keys with a size) of this range of keys; keys that nobody else can have offered are left out."""
+    k = _Keys(batch, sim)
+    rows, keys, last, m = k.probes(counters, noise)
+    if parts > 1:
+        mine = _in_range(keys, part, parts)
+        rows, keys, last, m = rows[mine], keys[mine], last[mine], m[mine]
+    n = np.minimum(k.n, MOST_COUNTED)[rows]
+    num, whole = sim.num, sim.num + sim.den
+    least = -((-num * n) // sim.den)
+    # n - last + m - 1 words at most are shared, and these are num / whole of both sizes at least.
+    most = np.where(n < MOST_COUNTED, np.minimum(n, whole * (n - last + m - 1) // num - n), n)
+    low, high = _size_class(least), _size_class(most)
+    times = np.where(most >= least, high - low + 1, 0)
+    own = (last < np.where(m == 1, sim.offer_length(k.n, 1)[rows], sim.offer_length(k.n, MOST_WORDS)[rows]))
+    at = np.repeat(np.arange(len(rows)), times)
+    size = np.repeat(low, times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    sized = _sized(keys[at], size)
+    mine = own[at] & (size == _size_class(k.n)[rows][at])  # the record may have offered this key itself
+    hit = np.where(mine, False, is_marked(offered[::2], sized))
+    hit[mine] = is_marked(offered[1::2], sized[mine])
+    return rows[at][hit], sized[hit]
+
+
+def _probe_rows(sim: Similarity, counters, noise, offered, part: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys = _probes(batch, sim, offered.value, pairs.value)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(rows)) for c in ("id", "card", "bits"))], ["key", "long_id", "long", "long_bits"])
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                rows, keys = _probes(some, sim, counters.value, noise, offered.value, part, parts)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(some.column(c).take(pa.array(rows)) for c in ("id", "card", "bits"))], ["key", "long_id", "long", "long_bits"])
 
     return run
 
@@ -293,10 +305,10 @@ def _met(marked):
     return run
 
 
-def _offer_rows(sim: Similarity, asked):
+def _offer_rows(sim: Similarity, asked, part: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys = _offers(batch, sim)
+            rows, keys = _offers(batch, sim, part, parts)
             hit = is_marked(asked.value, keys)
             rows, keys = rows[hit], keys[hit]
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(rows)) for c in ("id", "card", "bits"))], ["key", "short_id", "short", "short_bits"])
@@ -309,10 +321,12 @@ def _ids(batch: pa.RecordBatch, id_: str) -> np.ndarray:
     return mix(batch.column(id_).to_numpy(zero_copy_only=False).view(np.uint64) + tbl * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _only(marked):
+def _only(marked, column: str):
+    """The rows whose column, with its table, is marked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(is_marked(marked.value, _ids(batch, "id"))))
+            yield batch.filter(pa.array(is_marked(marked.value, _ids(batch, column))))
 
     return run
 
@@ -328,25 +342,39 @@ def near_duplicate_pairs(texts: DataFrame, num: int = 7, den: int = 10, expand_l
     spark = texts.sparkSession
     sim = Similarity(num, den)
     stage = Staging(spark, "near")
-    sets = texts.where(F.col("text").isNotNull()).select("tbl", F.col("id").cast("long").alias("id"), F.array_distinct(F.transform(words(F.col("text")), lambda x: F.xxhash64(x))).alias("words"), F.xxhash64("text").alias("same"))
+    share = spark.sparkContext.broadcast
+    tbl = F.when(F.col("tbl").between(0, 15), F.col("tbl").cast("int")).otherwise(F.raise_error(F.lit("tbl must be from 0 to 15")).cast("int"))
+    sets = texts.where(F.col("text").isNotNull()).select(tbl.alias("tbl"), F.col("id").cast("long").alias("id"), F.array_distinct(F.transform(words(F.col("text")), lambda x: F.xxhash64(x))).alias("words"), F.xxhash64("text").alias("same"))
     part = lambda seed: F.aggregate("words", F.lit(0).cast("long"), lambda acc, x: (acc + F.pmod(F.xxhash64(F.lit(seed), x), F.lit((1 << 61) - 1))) % F.lit((1 << 61) - 1))
     sets = stage.table(sets.where(F.size("words") > 0).withColumns({"sig0": part(0), "sig1": part(1)}), "sets")
-    ranks = spark.sparkContext.broadcast(gather(sets.select("words"), _word_counts, WORD_COUNTERS, np.uint32, _rank))
-    repeats = spark.sparkContext.broadcast(gather(sets.select("words"), _word_repeats, WORD_SLOTS, np.uint8, lambda x: pack(x > 1), lambda x, y: np.minimum(x + y, 2)))
-    shaped = sets.mapInArrow(_prefixes(ranks, repeats, sim), "tbl int, id long, sig0 long, sig1 long, n int, card long, bits long, rare int, prefix array<int>, counted array<int>")
-    # One row for each class; its prefix is that of any member, as they have the same words.
-    reps = stage.table(shaped.groupBy("tbl", "sig0", "sig1").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "card", "bits", "rare")), F.first("prefix").alias("prefix"), F.first("counted").alias("counted")), "reps")
-    small = reps.where(F.size("prefix") > 0).select("tbl", "id", "n", "card", "bits", "rare", "prefix", "counted")
-    offered = spark.sparkContext.broadcast(gather(small, _offer_counts(sim), KEY_COUNTERS, np.uint32, lambda x: np.minimum(x, 65535).astype(np.uint16)))
-    records = reps.count()
-    size = lambda least, most: min(most, max(least, 1 << (256 * records).bit_length()))
-    pair_bits = size(PAIR_BITS_LEAST, PAIR_BITS)
-    pairs = spark.sparkContext.broadcast(gather(small, _seen_twice(sim, pair_bits), pair_bits // 4, np.uint8, lambda x: x.astype(np.uint8), _merge_twice))
+    ranks = share(gather(sets.select("words"), _word_counts, WORD_COUNTERS, np.uint64, _rank))
+    repeats = share(gather(sets.select("words"), _word_repeats, WORD_SLOTS, np.uint8, lambda x: pack(x > 1), lambda x, y: np.minimum(x + y, 2)))
+    # Word sets of more than one record; their other records are found by a bitmap, so that no other row is shuffled.
+    several = stage.table(sets.groupBy("tbl", "sig0", "sig1").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "several")
+    shared = share(gather_bits(several.select("tbl", "sig0"), ID_BITS, lambda batch: [_ids(batch, "sig0")]))
+    shaped = sets.mapInArrow(_prefixes(ranks, repeats, sim, shared), "tbl int, id long, n int, card long, bits long, maybe boolean, prefix array<int>, places array<int>")
+    shaped = stage.table(shaped.where((F.size("prefix") > 0) | F.col("maybe")), "shaped")
+    members = sets.select("tbl", "sig0", "sig1", "same", "id").mapInArrow(_only(shared, "sig0"), "tbl int, sig0 long, sig1 long, same long, id long")
+    members = stage.table(members.join(several, ["tbl", "sig0", "sig1"]).select("tbl", "rep", "same", "id", "copies"), "members")
+    # One row for each class: its smallest id, or the only one.
+    others = members.where("id != rep").select("tbl", "id")
+    firsts = stage.table(shaped.where("maybe").join(others, ["tbl", "id"], "left_anti"), "firsts")
+    small = shaped.where("not maybe").unionByName(firsts.select(*shaped.columns)).where(F.size("prefix") > 0).drop("maybe")
+    counts = gather(small, _offer_counts(sim), KEY_COUNTERS, np.uint64, lambda x: np.minimum(x, (1 << 32) - 1).astype(np.uint32))
+    noise, counts = float(counts.mean()), share(counts)
+    bits = BITS_PER_RECORD * max(small.count(), 1024)
+    passes = -(-bits // KEY_BITS)
+    n_words = bitmap_words(-(-bits // passes))
     keys_of = lambda batch: [batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)]
-    marks = lambda rows: spark.sparkContext.broadcast(gather_bits(rows.select("key"), size(KEY_BITS_LEAST, KEY_BITS), keys_of))
-    probes = stage.table(small.mapInArrow(_probe_rows(sim, offered, pairs), _PROBE), "probes")
-    offers = stage.table(small.mapInArrow(_offer_rows(sim, marks(probes)), _OFFER), "offers")
-    probes = probes.mapInArrow(_met(marks(offers)), _PROBE)
+    marks = lambda rows: share(gather_bits(rows.select("key"), n_words * 64, keys_of))
+    probes = offers = None
+    for k in range(passes):
+        offered = share(gather(small, _seen_twice(sim, n_words, k, passes), 2 * n_words, np.uint64, lambda x: x, _merge_twice))
+        asked = stage.table(small.mapInArrow(_probe_rows(sim, counts, noise, offered, k, passes), _PROBE), f"asked-{k}")
+        offered.unpersist()
+        given = stage.table(small.mapInArrow(_offer_rows(sim, marks(asked), k, passes), _OFFER), f"offers-{k}")
+        asked = asked.mapInArrow(_met(marks(given)), _PROBE)
+        probes, offers = (asked, given) if probes is None else (probes.unionByName(asked), offers.unionByName(given))
     n_long, n_short = F.shiftrightunsigned("long", SET_BITS + 4), F.shiftrightunsigned("short", SET_BITS + 4)
     tbl = F.shiftrightunsigned("short", SET_BITS).bitwiseAND(F.lit(15)).cast("int")
     fits = (n_short <= n_long) & (n_short * den >= n_long * num) & ((n_short < n_long) | (F.col("short_id") < F.col("long_id")))
@@ -354,18 +382,16 @@ def near_duplicate_pairs(texts: DataFrame, num: int = 7, den: int = 10, expand_l
     differ = F.bit_count(F.col("long").bitwiseXOR(F.col("short")).bitwiseAND(F.lit((1 << SET_BITS) - 1))) + F.bit_count(F.col("long_bits").bitwiseXOR(F.col("short_bits")))
     near = differ * (den + num) <= (n_long + n_short) * (den - num)
     candidates = stage.table(probes.join(offers, "key").where(fits & near).select(tbl.alias("tbl"), "long_id", "short_id").distinct(), "candidates")
-    stage.drop("probes", "offers")
+    stage.drop("shaped", "firsts", *(f"{x}-{k}" for x in ("asked", "offers") for k in range(passes)))
     met = candidates.select("tbl", "long_id", "short_id")
     marked = spark.sparkContext.broadcast(gather_bits(met, ID_BITS, lambda batch: [_ids(batch, "long_id"), _ids(batch, "short_id")]))
-    few_sets = sets.select("tbl", "id", "words").mapInArrow(_only(marked), "tbl int, id long, words array<long>")
+    few_sets = sets.select("tbl", "id", "words").mapInArrow(_only(marked, "id"), "tbl int, id long, words array<long>")
     side = lambda name: few_sets.select("tbl", F.col("id").alias(f"{name}_id"), F.col("words").alias(f"{name}_words"))
     checked = candidates.join(side("long"), ["tbl", "long_id"]).join(side("short"), ["tbl", "short_id"])
     shared, total = F.size(F.array_intersect("long_words", "short_words")), F.size("long_words") + F.size("short_words")
     pairs = stage.table(checked.where(shared * (den + num) >= total * num).select("tbl", "long_id", "short_id"), "pairs")
-    stage.drop("candidates")
+    stage.drop("candidates", "sets", "several")
 
-    several = reps.where("copies > 1").select("tbl", "sig0", "sig1", F.col("id").alias("rep"), "copies")
-    members = stage.table(sets.select("tbl", "sig0", "sig1", "same", "id").join(several, ["tbl", "sig0", "sig1"]).select("tbl", "rep", "same", "id", "copies"), "members")
     many = members.where(F.col("copies") > expand_limit)
     equal = many.groupBy("tbl", "rep", "same").agg(F.min("id").alias("first"), F.count("*").alias("equal"))
     many = stage.table(many.join(equal, ["tbl", "rep", "same"]).select("tbl", "rep", "id", "first", "equal"), "many")
@@ -410,5 +436,21 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_texts(spark, sf_dir)).select(_name(), F.col("id").alias("record_ordinal"), F.col("class_id").alias("class_ordinal"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
-ORACLE: dict[str, str] = {}
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """table_name, query_ordinal, other_ordinal: for the records whose ordinal is divisible by 50, every other record of the table that is near."""
+    x = near_duplicate_pairs(_texts(spark, sf_dir))
+    both = x.unionByName(x.select("tbl", F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    return both.where(F.col("id_a") % 50 == 0).select(_name(), F.col("id_a").alias("query_ordinal"), F.col("id_b").alias("other_ordinal"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_neighbours": p1_neighbours}
+#: All records against those divisible by 50; holds as long as no text has more than 64 records, which no test table has.
+ORACLE = {
+    "p1_neighbours": r"""
+WITH t AS (SELECT 'seeds' AS table_name, record_ordinal AS o, prompt_safe AS p FROM seeds UNION ALL SELECT 'metadata', record_ordinal, prompt_unsafe FROM metadata),
+w AS (SELECT table_name, o, list_distinct(regexp_extract_all(lower(p), '[\p{L}\p{N}]+')) AS s FROM t WHERE p IS NOT NULL),
+n AS (SELECT table_name, o, s, len(s) AS n FROM w WHERE len(s) > 0)
+SELECT q.table_name, q.o AS query_ordinal, x.o AS other_ordinal FROM n q JOIN n x ON x.table_name = q.table_name AND x.o <> q.o AND q.o % 50 = 0 AND x.n * 10 >= q.n * 7 AND q.n * 10 >= x.n * 7
+WHERE len(list_intersect(q.s, x.s)) * 17 >= (q.n + x.n) * 7
+""",
+}

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 CHUNKS = 64
+MOST_PARTS = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,25 +37,34 @@ def as_lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.A
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def emit_counts(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for k, part in enumerate(np.split(counts, CHUNKS)):
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["chunk", "body"])
-
-
 def gather(df: DataFrame, count, size: int, dtype, finish, merge=np.add) -> np.ndarray:
-    """An array of fixed size, merged over all partitions. count: batches -> array of one partition; finish: one merged chunk -> what the driver keeps."""
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from emit_counts(count(batches))
+    """An array of fixed size, merged over all partitions. count: batches -> array of one partition; finish: one merged chunk -> what the driver keeps.
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(size // CHUNKS, np.uint64)
-        for body in table.column("body"):
-            total = merge(total, np.frombuffer(zlib.decompress(body.as_py()), dtype).astype(np.uint64))
-        return pa.table({"chunk": table.column("chunk")[:1], "body": pa.array([zlib.compress(finish(total).tobytes(), 1)], pa.binary())})
+    Partitions are joined to at most MOST_PARTS tasks (or twice the cores, if these are more), so the arrays written don't grow with the
+    table. They are merged chunk by chunk in two steps, so no task holds more than the square root of their number of partial chunks.
+    """
+    most = max(MOST_PARTS, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    fan = math.isqrt(most - 1) + 1
 
-    done = df.mapInArrow(part, "chunk int, body binary").groupBy("chunk").applyInArrow(add, "chunk int, body binary").collect()
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() // fan
+        for k, chunk in enumerate(np.split(count(batches), CHUNKS)):
+            if chunk.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([number], pa.int32()), pa.array([zlib.compress(chunk.tobytes(), 1)], pa.binary())], ["chunk", "part", "body"])
+
+    def merged(kind, last: bool):
+        def run(table: pa.Table) -> pa.Table:
+            total = np.zeros(size // CHUNKS, np.uint64)
+            for body in table.column("body"):
+                total = merge(total, np.frombuffer(zlib.decompress(body.as_py()), kind).astype(np.uint64))
+            out = finish(total) if last else total
+            return pa.table({"chunk": table.column("chunk")[:1], "body": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+
+        return run
+
+    schema = "chunk int, body binary"
+    some = df.coalesce(most).mapInArrow(part, "chunk int, part int, body binary").groupBy("chunk", "part").applyInArrow(merged(dtype, False), schema)
+    done = some.groupBy("chunk").applyInArrow(merged(np.uint64, True), schema).collect()
     empty = finish(np.zeros(size // CHUNKS, np.uint64))
     bodies = {chunk: np.frombuffer(zlib.decompress(bytes(body)), empty.dtype) for chunk, body in done}
     return np.concatenate([bodies.get(k, empty) for k in range(CHUNKS)])
@@ -68,29 +80,29 @@ def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
-HASHES = 2  # bits of a key; a key is taken to be marked if all of them are set
-
-
-def places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """The bits of mixed 64-bit keys in a bitmap of this size."""
-    shift = np.uint64(64 - (bits.bit_length() - 1))
-    for j in range(HASHES):
-        yield (mix(keys + np.uint64(j)) if j else keys) >> shift
+def bitmap_words(bits: int) -> int:
+    """The 64-bit words of a bitmap of at least so many bits."""
+    return -(-max(bits, 1) // (64 * CHUNKS)) * CHUNKS
 
 
-def set_bits(out: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(out, at >> np.uint64(3), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
+def places(keys: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, four of its bits) of mixed 64-bit keys; a key is taken to be marked if all of its bits are set."""
+    at = ((keys >> np.uint64(32)) * np.uint64(n_words)) >> np.uint64(32)
+    more = mix(keys + np.uint64(1))
+    bits = np.zeros(len(keys), np.uint64)
+    for shift in (0, 6, 12, 18):
+        bits |= np.uint64(1) << ((more >> np.uint64(shift)) & np.uint64(63))
+    return at, bits
 
 
-def mark(bits: int, keys_of):
+def mark(n_words: int, keys_of):
     """For gather: the set of keys of a partition as a bitmap; keys_of: batch -> arrays of mixed 64-bit keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(bits // 8, np.uint8)
+        out = np.zeros(n_words, np.uint64)
         for batch in batches:
             for keys in keys_of(batch):
-                for at in places(np.unique(keys), bits):
-                    set_bits(out, at)
+                np.bitwise_or.at(out, *places(keys, n_words))
         return out
 
     return run
@@ -98,12 +110,11 @@ def mark(bits: int, keys_of):
 
 def gather_bits(df: DataFrame, bits: int, keys_of) -> np.ndarray:
     """A bitmap of fixed size of all keys of a table."""
-    return gather(df, mark(bits, keys_of), bits // 8, np.uint8, lambda x: x.astype(np.uint8), np.bitwise_or)
+    n = bitmap_words(bits)
+    return gather(df, mark(n, keys_of), n, np.uint64, lambda x: x, np.bitwise_or)
 
 
 def is_marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether mixed keys are in a bitmap of gather_bits; a key that is in it always is, others rarely are."""
-    out = np.ones(len(keys), bool)
-    for at in places(keys, len(bitmap) * 8):
-        out &= is_set(bitmap, at)
-    return out
+    at, bits = places(keys, len(bitmap))
+    return (bitmap[at] & bits) == bits

@@ -52,7 +52,7 @@ def test_against_all_pairs(spark, seed, num, den):
 
 def test_records_with_too_many_combinations(spark, monkeypatch):
     monkeypatch.setattr(nd, "MOST_OFFERS", 4)
-    monkeypatch.setattr(nd, "KEY_COST", 0.0)
+    monkeypatch.setattr(nd, "KEY_COST", -1.0)
     rows = texts(4, 120, 40)
     assert run(spark, rows) == brute(rows, 7, 10)
 
@@ -91,3 +91,20 @@ def test_prefix_lengths():
         ok = sim.most_words(n) >= m
         least = -(-7 * n // 10)
         assert (sim.probe_length(n, m)[ok] == (n - least + m)[ok]).all() and (sim.offer_length(n, m) <= sim.probe_length(n, m)).all()
+
+
+def test_keys_in_several_passes(spark, monkeypatch):
+    """With bitmaps too small for all keys at once each range of keys has its own pass."""
+    monkeypatch.setattr(nd, "KEY_BITS", 1 << 16)
+    rows = texts(5)
+    assert run(spark, rows) == brute(rows, 7, 10)
+
+
+def test_sizes_in_classes(spark, monkeypatch):
+    """Larger sets, whose sizes share classes; near sets differ in size as far as the similarity lets them."""
+    rnd = random.Random(6)
+    rows = []
+    for k in range(40):
+        w = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randrange(30, 140))]
+        rows += [(0, 3 * k, " ".join(w)), (0, 3 * k + 1, " ".join(w[: int(len(w) * rnd.uniform(0.66, 1))])), (0, 3 * k + 2, " ".join(w[int(len(w) * rnd.uniform(0, 0.34)) :]))]
+    assert run(spark, rows) == brute(rows, 7, 10)
