@@ -187,7 +187,9 @@ class _Keys:
             rows, keys, last, heavy = self.combine(self.usable(self.sim.probe_length, m), m, MOST_OFFERS if m > 1 else None)
             mine = last < self.sim.offer_length(self.n, m)[rows]
             met = counters[keys & np.uint64(KEY_COUNTERS - 1)].astype(np.float64) - mine - noise
-            cost = np.maximum(np.bincount(rows, met, minlength=len(self.n)), 0) + np.bincount(rows, minlength=len(self.n)) * KEY_COST
+            looked_up = np.bincount(rows, minlength=len(self.n))
+            # Other keys in the same counters come and go by the root of their number; only what is surely more is a cost.
+            cost = np.maximum(np.bincount(rows, met, minlength=len(self.n)) - 2 * np.sqrt(noise * looked_up), 0) + looked_up * KEY_COST
             cost[self.sim.most_words(self.n) < m] = np.inf
             cost[heavy] = np.inf
             better = cost < best

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 CHUNKS = 64
-MOST_PARTS = 1024
+LEAST_TASKS = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,11 +40,12 @@ def as_lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.A
 def gather(df: DataFrame, count, size: int, dtype, finish, merge=np.add) -> np.ndarray:
     """An array of fixed size, merged over all partitions. count: batches -> array of one partition; finish: one merged chunk -> what the driver keeps.
 
-    Partitions are joined to at most MOST_PARTS tasks (or twice the cores, if these are more), so the arrays written don't grow with the
-    table. They are merged chunk by chunk in two steps, so no task holds more than the square root of their number of partial chunks.
+    Partitions are joined to at most twice as many tasks as there are cores (or LEAST_TASKS), so the arrays written don't grow with the
+    table. They are merged chunk by chunk, beyond LEAST_TASKS in two steps, so no task holds more than that many partial chunks, or
+    the square root of their number.
     """
-    most = max(MOST_PARTS, 2 * df.sparkSession.sparkContext.defaultParallelism)
-    fan = math.isqrt(most - 1) + 1
+    most = max(LEAST_TASKS, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    fan = max(LEAST_TASKS, math.isqrt(most - 1) + 1)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() // fan
@@ -63,8 +64,10 @@ def gather(df: DataFrame, count, size: int, dtype, finish, merge=np.add) -> np.n
         return run
 
     schema = "chunk int, body binary"
-    some = df.coalesce(most).mapInArrow(part, "chunk int, part int, body binary").groupBy("chunk", "part").applyInArrow(merged(dtype, False), schema)
-    done = some.groupBy("chunk").applyInArrow(merged(np.uint64, True), schema).collect()
+    some, kind = df.coalesce(most).mapInArrow(part, "chunk int, part int, body binary"), dtype
+    if most > fan:
+        some, kind = some.groupBy("chunk", "part").applyInArrow(merged(dtype, False), schema), np.uint64
+    done = some.groupBy("chunk").applyInArrow(merged(kind, True), schema).collect()
     empty = finish(np.zeros(size // CHUNKS, np.uint64))
     bodies = {chunk: np.frombuffer(zlib.decompress(bytes(body)), empty.dtype) for chunk, body in done}
     return np.concatenate([bodies.get(k, empty) for k in range(CHUNKS)])

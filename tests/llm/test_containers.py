@@ -61,6 +61,39 @@ def test_edges(spark):
     assert run(spark, {}, 100) == []
 
 
+def test_ids_at_both_ends(spark):
+    """Ids need no room for a piece number."""
+    sizes = {5: 60, 5 + 2**44: 70, 2**63 - 1: 10, -(2**63): 20, -1: 240, 5 + 2**45: -3}
+    rows = run(spark, sizes, 100)
+    check(rows, sizes | {5 + 2**45: 0}, 100)
+
+
+def test_a_hot_size_is_spread(spark, monkeypatch):
+    """Tasks that rank a size grow with its number of pieces; results stay whole."""
+    monkeypatch.setattr(containers, "PER_TASK", 10)
+    sizes = dict.fromkeys(range(300), 40) | {300 + k: 1 + k % 90 for k in range(600)}
+    rows = run(spark, sizes, 100)
+    n = check(rows, sizes, 100)
+    monkeypatch.setattr(containers, "PER_TASK", 10**6)
+    assert n == check(run(spark, sizes, 100), sizes, 100) <= best_fit_decreasing(sizes, 100) * 1.04 + 1
+
+
+def test_few_jobs(spark):
+    sizes = {k: 1 + k * 7 % 90 for k in range(400)}
+    df = spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens long")
+    spark.sparkContext.setJobGroup("few", "few")
+    containers.fill_containers(df, 100).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 20
+
+
+@pytest.mark.parametrize("capacity", [0, -1, 1 << 30])
+def test_capacity_bounds(spark, capacity):
+    with pytest.raises(ValueError, match="capacity"):
+        run(spark, {1: 1}, capacity)
+
+
 def test_token_counts(spark):
     tiktoken = pytest.importorskip("tiktoken")
     import base64
