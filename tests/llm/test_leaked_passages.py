@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
+
 from rungmill.llm import leaked_passages as lp
 
 WORD = re.compile(r"[^\W_]+")
@@ -49,6 +51,38 @@ def test_replaced_words(spark):
     assert got[(1, 5)]["longest_run"] == 7 and got[(1, 5)]["matched_words"] == 27
 
 
+def _recall(spark, patterns):
+    """Share of overlaps with these replaced words (False) that are found with all of their equal words."""
+    items = [(k, " ".join(f"a{k}x{j}" for j in range(len(p)))) for k, p in enumerate(patterns)]
+    docs = [(k, "before " + " ".join(f"a{k}x{j}" if ok else f"z{k}x{j}" for j, ok in enumerate(p)) + " after") for k, p in enumerate(patterns)]
+    got = run(spark, docs, items)
+    return sum((k, k) in got and got[k, k]["matched_words"] == sum(p) for k, p in enumerate(patterns)) / len(patterns)
+
+
+def test_every_nth_word_replaced(spark):
+    assert _recall(spark, [[(j + start) % n != 0 for j in range(48)] for n in range(2, 15) for start in range(n)]) == 1.0
+
+
+@pytest.mark.parametrize(("rate", "least"), [(0.1, 0.99), (0.2, 0.98), (0.33, 0.93)])
+def test_words_replaced_at_random(spark, rate, least):
+    rnd = random.Random(rate)
+    patterns = []
+    while len(patterns) < 400:
+        p = [True]
+        while len(p) < 19:
+            p.append(not (p[-1] and rnd.random() < rate))
+        p.append(True)
+        if sum(p) >= 10:
+            patterns.append(p)
+    assert _recall(spark, patterns) >= least
+
+
+def test_repetitive_texts(spark):
+    """Every shift is a hit; each compares an item's length of words, not the document."""
+    got = run(spark, [(1, "la " * 30_000), (2, "la " * 9)], [(5, "la " * 12)])
+    assert {k: (r["longest_run"], r["matched_words"]) for k, r in got.items()} == {(1, 5): (12, 12)}
+
+
 def test_all_overlaps_of_a_diagonal(spark):
     item = [f"a{k}" for k in range(60)]
 
