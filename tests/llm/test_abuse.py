@@ -39,13 +39,33 @@ def test_learns_sentences_from_documents():
     train, held = corpus(1, 400), corpus(2, 200)
     targets = np.array([float(b != (rnd.random() < 0.08)) for _, b in train])  # reviewers err
     w = abuse.fit([t for t, _ in train], targets, np.ones(len(train)))
-    found = abuse.score_texts([t for t, _ in held], w, abuse.Vectors())
-    flagged = [abuse.noisy_or([p for p, _ in x]) >= 0.5 for x in found]
+    p, text = abuse.score_texts([t for t, _ in held], w, abuse.Vectors())
+    flagged = abuse.noisy_or(p, text, len(held)) >= 0.5
     right = sum(f == b for f, (_, b) in zip(flagged, held, strict=True))
     assert right >= 0.95 * len(held)
-    for x, f, (_, b) in zip(found, flagged, held, strict=True):
-        if f and b:
-            assert any(word in max(x)[1] for word in ("fool", "driven"))
+    for k, (t, b) in enumerate(held):
+        if flagged[k] and b:
+            assert any(word in abuse.sentences(t)[int(p[text == k].argmax())] for word in ("fool", "driven"))
+
+
+@pytest.mark.parametrize("text", ["One two. Three!\n\n- four \"five.\" Six 。六九。 w.o.r.t.h y o u j e r k s", "a b c d e", "", "...", "1d1ot looooser it's no. 7?\rend", "x. y. z. e.g. this", "U.S. and 你好。世界 \0 z"])
+def test_pieces_are_the_words_of_sentences(text):
+    """Looking up pieces gives what the rules give for whole sentences."""
+    flat, at = abuse.Vectors()._hashes(["before", text, "after it"])
+    got, now = [], []
+    for h in flat[at == 1]:
+        now, got = ([], [*got, now]) if h == 0 else ([*now, int(h)], got)
+    got = [x for x in [*got, now] if x]
+    assert got == [[abuse._hash(w) for w in abuse._words(abuse.plain(s))] for s in abuse.sentences(text)]
+
+
+def test_length_adds_nothing():
+    held = corpus(7, 300)
+    w = abuse.fit([t for t, _ in held], np.array([float(b) for _, b in held]), np.ones(len(held)))
+    texts = [" ".join(g.format("it") for g in GOOD) * n for n in (1, 10, 400)]
+    p, text = abuse.score_texts(texts, w, abuse.Vectors())
+    scores = abuse.noisy_or(p, text, 3)
+    assert scores.max() < 0.1
 
 
 def test_documents(spark):
