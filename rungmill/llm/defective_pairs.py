@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rungmill.functions.levels import LEVELS
 from rungmill.llm.languages import LanguageModel, labelled_sample, train
 from rungmill.llm.sketches import gather
 
-LEVELS = ("safe", "low_risk", "mid_risk", "high_risk")
 TRAIN_TEXTS = 300
 MARGIN_PER_TEXT, MARGIN_PER_LETTER = 4.0, 0.06  # by how much a response's language must beat the prompt's, in nats
 PROMPT_MARGIN = 1.0  # nats by which a prompt's language is known
@@ -109,13 +109,13 @@ def _runs(points: np.ndarray, order: int) -> np.ndarray:
 
 def _end_counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     """How often each run of one to three characters stands anywhere, and, in the second half, at an end."""
-    out = np.zeros(2 * END_COUNTERS, np.uint32)
+    out = np.zeros(2 * END_COUNTERS, np.uint64)
     for batch in batches:
         texts = [t.rstrip().lower() for t in batch.column("response").to_pylist() if t is not None]
         points = _points(texts)
         for order in END_ORDERS:
             if len(points) >= order:
-                out[:END_COUNTERS] += np.bincount(_runs(points, order).astype(np.int64), minlength=END_COUNTERS).astype(np.uint32)
+                out[:END_COUNTERS] += np.bincount(_runs(points, order).astype(np.int64), minlength=END_COUNTERS).astype(np.uint64)
         tails = _tails(texts)
         for order in END_ORDERS:
             np.add.at(out[END_COUNTERS:], _slot(*[tails[:, j] for j in range(order)]), 1)
@@ -191,7 +191,7 @@ def defective_pairs(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     model = spark.sparkContext.broadcast((learned.languages, learned.tables))
     given = pairs.where(F.col("prompt").isNotNull())
     different = given.select(F.lower(F.regexp_replace("response", r"(?U)\s+$", "")).alias("response")).distinct()
-    counts = spark.sparkContext.broadcast(gather(different, _end_counts, 2 * END_COUNTERS, np.uint32, lambda x: x.astype(np.uint32)))
+    counts = spark.sparkContext.broadcast(gather(different, _end_counts, 2 * END_COUNTERS, np.uint64, lambda x: x))
     return given.select("id", "part", "prompt", "response").mapInArrow(_flag(model, counts), "id long, part string, defect string")
 
 

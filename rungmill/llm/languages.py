@@ -78,8 +78,8 @@ def train(samples: list[tuple[str, str]]) -> LanguageModel:
 def labelled_sample(documents: DataFrame, per_language: int, most_chars: int = 400_000) -> list[tuple[str, str]]:
     """A bounded sample of texts with a language code: of each code's first two letters up to per_language texts, chosen by hash.
 
-    At most most_chars characters a language reach the driver, whole texts only; texts of more than 20,000 characters are left to
-    others of their language.
+    At most per_language x 20,000 characters of a language reach the driver, one row at a time, and whole texts of at most most_chars
+    characters are kept; texts of more than 20,000 characters are left to others of their language.
     """
     code = F.lower(F.substring("lang", 1, 2))
     d = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") >= 40) & (F.char_length("text") <= 20_000) & F.lower("lang").rlike("^[a-z]{2}(-|$)"))

@@ -2,8 +2,10 @@
 
 Limits: the length of every text is computed as different stores would count it (characters, UTF-8 bytes, UTF-16 units, with
 entities or JSON escapes, with CRLF line ends). Texts are counted by source and length under each of these; a hidden limit is a
-length that far more texts have than the lengths just below, with hardly any text above. Of the encodings that show a limit of a
-source the one that gathers most texts there is the right one.
+length that far more texts have than the lengths just below, with hardly any text above. Of the encodings that show this limit of a
+source the one that gathers most texts there is the right one. A source whose field was widened, or of which only some texts pass a
+narrow store, has longer texts as well: there a limit is a length that far more different texts have than the lengths around it, and
+nearly all of them stop without an end. A source may have several limits.
 
 Endings: a broken transfer cuts anywhere. All texts are read as tokens (rare words by their last letters, numbers by their digits),
 and each short context of tokens has a rate at which texts end in it. An ending whose context hardly ever ends a text, or whose
@@ -33,6 +35,7 @@ END_RATE = 0.004  # texts hardly ever end in a context with a lower rate; one th
 LAST_WORD_RATE = 0.001  # nor with a last word of a lower rate, whatever stands before it
 LAST_SHARE = 0.0015  # names and numbers hardly ever end in a way with a lower share
 SPIKE, SPIKE_LEAST, LONGER = 6.0, 5, 0.002  # a limit: times the texts of the lengths below it, texts at least, share of longer texts at most
+DIFFERENT_LEAST, UNFINISHED = 20, 0.9  # a limit below longer texts: different texts at least, and the share of them that don't end a sentence
 #: Marks that end a sentence or a quotation (fixed values).
 FINAL = r"[.!?。！？…]['\"”’»)\]]*\s*$"
 
@@ -59,23 +62,33 @@ def lengths(text: Column) -> dict[str, Column]:
 
 
 def limits(texts: DataFrame) -> DataFrame:
-    """(tbl, source, encoding, limit, at_limit): at most one hidden limit of each source.
+    """(tbl, source, encoding, limit, at_limit): the hidden limits of each source, with the number of its texts there.
 
-    texts: tbl, source, text. Null sources are one source. Empty texts show no limit.
+    texts: tbl, source, text. Null sources are one source. Empty texts show no limit. Of the encodings that show a limit at one length the one
+    with most texts is given.
     """
     names = {k: c for k, c in lengths(F.col("text")).items()}
-    wide = texts.where(F.col("text").isNotNull()).select("tbl", "source", *[c.alias(k) for k, c in names.items()])
-    counts = wide.unpivot(["tbl", "source"], list(names), "encoding", "n").groupBy("tbl", "source", "encoding", "n").agg(F.count("*").alias("at_limit"))
+    unfinished = F.when(~F.col("text").rlike(FINAL), 1).otherwise(0)
+    wide = texts.where(F.col("text").isNotNull()).select("tbl", "source", F.xxhash64("text").alias("same"), unfinished.alias("unfinished"), *[c.alias(k) for k, c in names.items()])
+    wide = wide.groupBy("tbl", "source", "same").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("unfinished", *names)))
+    counts = wide.unpivot(["tbl", "source", "copies", "unfinished"], list(names), "encoding", "n")
+    counts = counts.groupBy("tbl", "source", "encoding", "n").agg(F.sum("copies").alias("at_limit"), F.count("*").alias("different"), F.sum("unfinished").alias("unfinished"))
     w = W.partitionBy("tbl", "source", "encoding").orderBy("n")
+    around = lambda x, lo, hi: F.coalesce(F.sum(x).over(w.rangeBetween(lo, hi)), F.lit(0))
     counts = counts.withColumns({
-        "below": F.sum("at_limit").over(w.rangeBetween(-10, -1)),
+        "below": around("at_limit", -10, -1),
+        "near": F.greatest(around("different", -10, -1), around("different", 1, 10)),
         "upto": F.sum("at_limit").over(w.rangeBetween(W.unboundedPreceding, 0)),
         "all": F.sum("at_limit").over(W.partitionBy("tbl", "source", "encoding")),
     })
-    spike = (F.col("at_limit") >= SPIKE_LEAST) & (F.col("at_limit") * 10 >= SPIKE * F.coalesce("below", F.lit(0))) & (F.col("all") - F.col("upto") <= LONGER * F.col("all")) & (F.col("n") > 1) & (F.col("at_limit") < 0.9 * F.col("all"))
+    spike = (F.col("at_limit") >= SPIKE_LEAST) & (F.col("at_limit") * 10 >= SPIKE * F.col("below")) & (F.col("all") - F.col("upto") <= LONGER * F.col("all")) & (F.col("n") > 1) & (F.col("at_limit") < 0.9 * F.col("all"))
+    inside = (F.col("different") >= DIFFERENT_LEAST) & (F.col("different") * 10 >= SPIKE * F.col("near")) & (F.col("unfinished") >= UNFINISHED * F.col("different")) & (F.col("n") > 1)
     order = F.array_position(F.array(*[F.lit(k) for k in names]), F.col("encoding"))
-    best = W.partitionBy("tbl", "source").orderBy(F.desc("at_limit"), order, F.desc("n"))
-    return counts.where(spike).withColumn("rank", F.row_number().over(best)).where("rank = 1").select("tbl", "source", "encoding", F.col("n").alias("limit"), "at_limit")
+    found = counts.where(spike | inside).withColumn("last", spike)
+    best = W.partitionBy("tbl", "source", "last").orderBy(F.desc("at_limit"), order, F.desc("n"))
+    found = found.withColumn("place", F.row_number().over(best)).where("not last or place = 1")
+    same = W.partitionBy("tbl", "source", "n").orderBy(F.desc("last"), F.desc("at_limit"), order)
+    return found.withColumn("rank", F.row_number().over(same)).where("rank = 1").select("tbl", "source", "encoding", F.col("n").alias("limit"), "at_limit")
 
 
 _TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}\s_]"
@@ -90,7 +103,7 @@ def _tokens(texts: DataFrame) -> DataFrame:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    counts = np.zeros(WORD_COUNTERS, np.uint32)
+    counts = np.zeros(WORD_COUNTERS, np.uint64)
     for batch in batches:
         values, n = lists(batch.column("tokens"))
         np.add.at(counts, values.view(np.uint64) & np.uint64(WORD_COUNTERS - 1), 1)
@@ -134,7 +147,7 @@ def _rates(known):
     """Contexts in the first half of the array, ends of texts in the second; words' last letters among the contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(2 * COUNTERS, np.uint32)
+        out = np.zeros(2 * COUNTERS, np.uint64)
         mask = np.uint64(COUNTERS - 1)
         for batch in batches:
             contexts, part, whole, rare, last, ends, n = _contexts(batch, known.value)
@@ -191,9 +204,9 @@ def endings(texts: DataFrame) -> DataFrame:
     # A text that is whole in some copy ends there; the ones at a limit aren't judged by their ending.
     different = stage.table(t.groupBy("tbl", "same").agg(F.first("tokens").alias("tokens"), F.first("lasts").alias("lasts"), F.min("at_limit").alias("at_limit")), "different")
     total = different.count()
-    counts = gather(different.select("tokens"), _word_counts, WORD_COUNTERS, np.uint32, lambda x: x.astype(np.uint32))
+    counts = gather(different.select("tokens"), _word_counts, WORD_COUNTERS, np.uint64, lambda x: x)
     known = spark.sparkContext.broadcast(counts >= max(KNOWN_LEAST, KNOWN_SHARE * total))
-    rates = spark.sparkContext.broadcast(gather(different.select("tbl", "tokens", "lasts", "at_limit"), _rates(known), 2 * COUNTERS, np.uint32, lambda x: x.astype(np.uint32)))
+    rates = spark.sparkContext.broadcast(gather(different.select("tbl", "tokens", "lasts", "at_limit"), _rates(known), 2 * COUNTERS, np.uint64, lambda x: x))
     stage.drop("different")
     return t.drop("same").mapInArrow(_score(known, rates), "tbl int, id long, source string, at_limit boolean, end_rate double, last_share double")
 
@@ -206,13 +219,18 @@ def truncated(texts: DataFrame) -> DataFrame:
     """
     texts = texts.select("tbl", "id", "source", "text")
     stage = Staging(texts.sparkSession, "limits")
-    found = stage.table(limits(texts).coalesce(1), "limits").withColumnsRenamed({"tbl": "l_tbl", "source": "l_source"})
-    sized = texts.where(F.col("text").isNotNull()).join(F.broadcast(found), (F.col("tbl") == F.col("l_tbl")) & F.col("source").eqNullSafe(F.col("l_source")), "left")
-    size = F.lit(None).cast("long")
-    for k, c in lengths(F.col("text")).items():
-        size = F.when(F.col("encoding") == k, c).otherwise(size)
+    found = stage.table(limits(texts).coalesce(1), "limits")
+    found = found.groupBy(F.col("tbl").alias("l_tbl"), F.col("source").alias("l_source")).agg(F.collect_list(F.struct("encoding", "limit")).alias("limits"))  # a few of each source
+    sized = texts.where(F.col("text").isNotNull()).join(found, (F.col("tbl") == F.col("l_tbl")) & F.col("source").eqNullSafe(F.col("l_source")), "left")
+
+    def reached(x: Column) -> Column:
+        size = F.lit(None).cast("long")
+        for k, c in lengths(F.col("text")).items():
+            size = F.when(x["encoding"] == k, c).otherwise(size)
+        return size == x["limit"]
+
     stopped = F.col("text").rlike(FINAL)
-    at = F.coalesce((size == F.col("limit")) & ~stopped, F.lit(False))
+    at = F.coalesce(~stopped & F.exists("limits", reached), F.lit(False))
     scored = endings(sized.select("tbl", "id", "source", "text", at.alias("at_limit")))
     cause = F.when(F.col("at_limit"), "limit").when((F.col("end_rate") < END_RATE) | (F.col("last_share") < LAST_SHARE), "ending")
     return scored.select("tbl", "id", "source", cause.alias("cause")).where("cause is not null")
@@ -248,4 +266,35 @@ def p6_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_rates": p6_rates, "p6_limits": p6_limits}
-ORACLE: dict[str, str] = {}
+_LENGTHS = {
+    "characters": "c",
+    "utf8": "b",
+    "utf16": "c + astral",
+    "entities": "c + e",
+    "entities_utf8": "b + e",
+    "json": "c + esc + 5 * beyond + 6 * astral",
+    "json_utf8": "b + esc",
+    "crlf": "c + crlf",
+    "crlf_utf8": "b + crlf",
+}
+_COUNT = "length(text) - length(regexp_replace(text, '{}', '', 'g'))"
+ORACLE = {
+    "p6_limits": r"""
+WITH t AS (SELECT 'seeds' AS table_name, red_team_model AS source, prompt_safe AS text FROM seeds UNION ALL SELECT 'metadata_subset', generator_model, mllm_reasoning FROM metadata_subset),
+l AS (SELECT *, length(text) AS c, strlen(text) AS b, NOT regexp_matches(text, '[.!?。！？…][''"”’»)\]]*\s*$') AS open,"""
+    + ", ".join(f" {_COUNT.format(x)} AS {name}" for name, x in {"astral": r"[\x{10000}-\x{10FFFF}]", "beyond": r"[^\x00-\x7F]", "esc1": r"[\"\\\x08\x0C\n\r\t]", "esc5": r"[\x00-\x07\x0B\x0E-\x1F]", "amp": "&", "angle": "[<>]", "quot": '"', "apos": "''"}.items())
+    + r""", length(replace(replace(text, chr(13) || chr(10), chr(10)), chr(10), chr(13) || chr(10))) - length(text) AS crlf FROM t WHERE text IS NOT NULL),
+m AS (SELECT *, esc1 + 5 * esc5 AS esc, 4 * amp + 3 * angle + 5 * quot + 4 * apos AS e FROM l),
+n AS ("""
+    + " UNION ALL ".join(f"SELECT table_name, source, text, open, {k} AS place, '{name}' AS encoding, {x} AS n FROM m" for k, (name, x) in enumerate(_LENGTHS.items()))
+    + r"""),
+g AS (SELECT table_name, source, place, encoding, n, count(*) AS at_limit, count(DISTINCT text) AS different, count(DISTINCT text) FILTER (open) AS unfinished FROM n GROUP BY ALL),
+w AS (SELECT *, coalesce(sum(at_limit) OVER (z RANGE BETWEEN 10 PRECEDING AND 1 PRECEDING), 0) AS below, greatest(coalesce(sum(different) OVER (z RANGE BETWEEN 10 PRECEDING AND 1 PRECEDING), 0), coalesce(sum(different) OVER (z RANGE BETWEEN 1 FOLLOWING AND 10 FOLLOWING), 0)) AS near,
+             sum(at_limit) OVER (z RANGE UNBOUNDED PRECEDING) AS upto, sum(at_limit) OVER (PARTITION BY table_name, source, encoding) AS every FROM g WINDOW z AS (PARTITION BY table_name, source, encoding ORDER BY n)),
+f AS (SELECT *, at_limit >= 5 AND at_limit * 10 >= 6 * below AND every - upto <= 0.002 * every AND n > 1 AND at_limit < 0.9 * every AS last FROM w
+      WHERE (at_limit >= 5 AND at_limit * 10 >= 6 * below AND every - upto <= 0.002 * every AND n > 1 AND at_limit < 0.9 * every) OR (different >= 20 AND different * 10 >= 6 * near AND unfinished >= 0.9 * different AND n > 1)),
+p AS (SELECT *, row_number() OVER (PARTITION BY table_name, source, last ORDER BY at_limit DESC, place, n DESC) AS first FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY table_name, source, n ORDER BY last DESC, at_limit DESC, place) AS rank FROM p WHERE NOT last OR first = 1)
+SELECT table_name, source, encoding, n AS "limit", at_limit FROM r WHERE rank = 1
+""",
+}

@@ -52,6 +52,24 @@ def test_limits_and_endings(spark):
     assert len(found & cut) >= 0.9 * len(cut) and len(found - cut) <= 0.03 * len(rows)
 
 
+def test_two_limits_of_a_source(spark):
+    """A field of 120 characters that was widened to 200; the texts at both are cut, and a text that is delivered often is no limit."""
+    rnd = random.Random(5)
+    rows, cut = [], set()
+    for k in range(3000):
+        text = " ".join(rnd.choice(["a wooden kite", "the old harbour", "two red boats", "near the mill,", "in fog"]) + f" {rnd.randrange(10**4)}" for _ in range(rnd.randrange(2, 16))) + "."
+        most = 120 if k % 3 == 0 else 200
+        if len(text) > most:
+            text = text[:most]
+            cut.add(k)
+        rows.append((0, k, "wide", text))
+    rows += [(0, 10_000 + k, "wide", "A whole text that comes again and again without a stop") for k in range(500)]
+    df = spark.createDataFrame(rows, "tbl int, id long, source string, text string")
+    assert {(r["encoding"], r["limit"]) for r in truncation.limits(df).collect()} == {("characters", 120), ("characters", 200)}
+    found = [r["id"] for r in truncation.truncated(df).where("cause = 'limit'").collect()]
+    assert len(found) == len(set(found)) and set(found) == {k for k, t in ((r[1], r[3]) for r in rows) if k in cut and not t.rstrip().endswith(".")}
+
+
 def test_edges(spark):
     schema = "tbl int, id long, source string, text string"
     assert truncation.truncated(spark.createDataFrame([], schema)).count() == 0
