@@ -27,6 +27,7 @@ from rungmill.plans.staging import Staging
 MASKS = ("1101100111", "1110011011")  # 1: the word counts; each ignores three of ten
 OVERLAP_MASKS = ("1111011", "1110111", "11011011", "10101010101")
 BITS = 1 << 26
+MOST_SENT = 1 << 18  # words of items that are sent to every task; with more of them the joins shuffle
 
 
 def _windows(batch: pa.RecordBatch, masks: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -83,19 +84,20 @@ def _compare(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (dv, dn), (iv, im) = lists(batch.column("part")), lists(batch.column("item_words"))
-            d0, i0 = np.cumsum(dn) - dn, np.cumsum(im) - im
-            first = batch.column("first").to_numpy(zero_copy_only=False)
-            runs, total = [], []
-            for k in range(batch.num_rows):
-                a = iv[i0[k] + first[k] : i0[k] + first[k] + dn[k]] == dv[d0[k] : d0[k] + dn[k]]
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], a.view(np.int8), [0]])))
-                start, end = edge[::2], edge[1::2]
-                equal = end - start
-                chains = np.flatnonzero(np.concatenate([[True], start[1:] - end[:-1] > 1])) if len(start) else np.zeros(0, np.int64)
-                sums, longest = (f.reduceat(equal, chains) if len(start) else equal for f in (np.add, np.maximum))
-                runs.append(int(longest[sums >= least].max(initial=0)))
-                total.append(int(sums.max(initial=0)))
-            keep = pa.array(np.array(total) >= least) if total else pa.array([], pa.bool_())
+            dn, first = dn.astype(np.int64), batch.column("first").to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), dn)
+            equal = iv[np.repeat(np.cumsum(im) - im + first - np.cumsum(dn) + dn, dn) + np.arange(len(dv))] == dv
+            total, runs = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32)
+            if equal.any():
+                new = np.concatenate([[True], row[1:] != row[:-1]])
+                start = np.flatnonzero(equal & (new | ~np.concatenate([[False], equal[:-1]])))
+                end = np.flatnonzero(equal & (np.concatenate([new[1:], [True]]) | ~np.concatenate([equal[1:], [False]]))) + 1
+                chains = np.flatnonzero(np.concatenate([[True], (start[1:] - end[:-1] > 1) | (row[start[1:]] != row[start[:-1]])]))
+                sums, longest = (f.reduceat(end - start, chains) for f in (np.add, np.maximum))
+                of = row[start[chains]]
+                np.maximum.at(total, of, sums.astype(np.int32))
+                np.maximum.at(runs, of, np.where(sums >= least, longest, 0).astype(np.int32))
+            keep = pa.array(total >= least)
             out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(runs, pa.int32()), pa.array(total, pa.int32()), pa.array(im, pa.int32())], ["doc_id", "item_id", "longest_run", "matched_words", "item_words"])
             yield out.filter(keep)
 
@@ -114,16 +116,20 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 10, mas
     spark = documents.sparkSession
     stage = Staging(spark, "leaks")
     hashed = lambda df, name: df.where(F.col("text").isNotNull()).select(F.col(name).cast("long").alias("id"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("words"))
-    docs, tests = hashed(documents, "doc_id"), hashed(items, "item_id")
+    docs, tests = hashed(documents, "doc_id"), stage.table(hashed(items, "item_id"), "items")
+    few = (tests.agg(F.sum(F.size("words"))).first()[0] or 0) <= MOST_SENT
+    sent = F.broadcast if few else lambda df: df
     marked = spark.sparkContext.broadcast(gather_bits(tests.select("words"), BITS, lambda batch: (key for _, _, key in _windows(batch, masks))))
     asked = tests.mapInArrow(_offered(masks), "key long, item_id long, item_at long")
     met = stage.table(docs.mapInArrow(_with_hits(masks, marked), "doc_id long, words array<long>, keys array<long>, places array<long>"), "met")
     hits = met.select("doc_id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("doc_at"))))
-    hits = hits.join(asked, "key").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
-    hits = hits.join(tests.select(F.col("id").alias("item_id"), F.col("words").alias("item_words")), "item_id")
-    shift, size = F.col("shift").cast("int"), F.size("item_words")
-    part = F.slice("words", F.greatest(shift, F.lit(0)) + 1, F.greatest(size + F.least(shift, F.lit(0)), F.lit(0)))
-    hits = hits.join(met.select("doc_id", "words"), "doc_id").select("doc_id", "item_id", "item_words", part.alias("part"), F.greatest(-shift, F.lit(0)).alias("first"))
+    hits = hits.join(sent(asked), "key").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+    # What lies opposite the item is cut out as soon as the document is met, so a hit never carries a whole document.
+    hits = hits.join(sent(tests.select(F.col("id").alias("item_id"), F.size("words").alias("size"))), "item_id")
+    shift = F.col("shift").cast("int")
+    part = F.slice("words", F.greatest(shift, F.lit(0)) + 1, F.greatest(F.col("size") + F.least(shift, F.lit(0)), F.lit(0)))
+    hits = hits.join(met.select("doc_id", "words"), "doc_id").select("doc_id", "item_id", part.alias("part"), F.greatest(-shift, F.lit(0)).alias("first"))
+    hits = hits.join(sent(tests.select(F.col("id").alias("item_id"), F.col("words").alias("item_words"))), "item_id")
     found = hits.mapInArrow(_compare(least), _OVERLAP)
     return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("longest_run", "matched_words", "item_words")))
 

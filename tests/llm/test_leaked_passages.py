@@ -83,6 +83,14 @@ def test_repetitive_texts(spark):
     assert {k: (r["longest_run"], r["matched_words"]) for k, r in got.items()} == {(1, 5): (12, 12)}
 
 
+def test_items_too_many_to_send(spark, monkeypatch):
+    item = " ".join(f"a{k}" for k in range(20))
+    docs, items = [(1, "x " + item), (2, "other words"), (3, item[:60])], [(5, item), (6, item + " b")]
+    want = run(spark, docs, items)
+    monkeypatch.setattr(lp, "MOST_SENT", 0)
+    assert run(spark, docs, items) == want and set(want) == {(1, 5), (1, 6), (3, 5), (3, 6)}
+
+
 def test_all_overlaps_of_a_diagonal(spark):
     item = [f"a{k}" for k in range(60)]
 
