@@ -44,6 +44,13 @@ MODELS = {
     "vicuna": "lmsys/vicuna-7b-v1.5",
     "dolphin": "cognitivecomputations/dolphin-2.9-llama3-8b",
 }
+#: Aliases of image generators (fixed values).
+GENERATORS = {
+    "sdxl": "stabilityai/stable-diffusion-xl-base-1.0",
+    "flux1": "black-forest-labs/FLUX.1-dev",
+    "large": "stabilityai/stable-diffusion-3.5-large",
+    "zimage": "Tongyi-MAI/Z-Image-Turbo",
+}
 
 
 def norm_level(raw: Column) -> Column:
@@ -67,9 +74,9 @@ def norm_category(raw: Column) -> Column:
     return out
 
 
-def resolve_model(alias: Column) -> Column:
-    """The model's full id; an unknown alias stands for itself."""
-    known = F.create_map(*[F.lit(x) for pair in MODELS.items() for x in pair])
+def resolve_model(alias: Column, models: dict[str, str] = MODELS) -> Column:
+    """The model's full id; an unknown alias stands for itself, null stays null."""
+    known = F.create_map(*[F.lit(x) for pair in models.items() for x in pair])
     return F.coalesce(F.try_element_at(known, F.coalesce(alias, F.lit(""))), alias)
 
 

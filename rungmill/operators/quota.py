@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rungmill.functions.levels import TAXONOMY, taxonomy
+from rungmill.functions.levels import TAXONOMY, resolve_model, taxonomy
 from rungmill.functions.names import free
 
 
@@ -45,6 +45,16 @@ def take(candidates: DataFrame, plan: DataFrame, samples: int, ordinal: str, cat
     return first.join(F.broadcast(plan), F.col(category) == F.col(wanted)).where(F.col(place) <= F.col(most)).drop(place, wanted, most)
 
 
+def plan_total(spark: SparkSession, samples: int, wanted: list[str] | None = None) -> DataFrame:
+    """One row (categories, samples, total): what a run would ask for in all; reads nothing."""
+    return dry_run(spark, samples, wanted).agg(F.count("*").alias("categories"), F.lit(samples).cast("long").alias("samples"), F.coalesce(F.sum("samples"), F.lit(0)).alias("total"))
+
+
+def seed_records(prompts: DataFrame, model: Column, seed: int, category: str = "category", prompt: str = "prompt") -> DataFrame:
+    """(category, prompt_safe, red_team_model, seed): the records of a run, the model under its full id, the run's seed on each."""
+    return prompts.select(F.col(category).alias("category"), F.col(prompt).alias("prompt_safe"), resolve_model(model).alias("red_team_model"), F.lit(seed).cast("long").alias("seed"))
+
+
 def dry_run(spark: SparkSession, samples: int, wanted: list[str] | None = None) -> DataFrame:
     """(category, samples): what a run would ask for; reads nothing."""
     check_categories(wanted or [])

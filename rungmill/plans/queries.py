@@ -9,7 +9,7 @@ from rungmill.functions import identity, levels, prompts
 from rungmill.operators import components as comp
 from rungmill.operators import dedup, export, judge, ladders, quota, similarity, verify
 from rungmill.plans.staging import Staging
-from rungmill.sources import images
+from rungmill.sources import images, jsonl
 from rungmill.streaming import resume
 
 SAMPLES = 2000
@@ -116,6 +116,11 @@ def quota_take(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.take(table(spark, sf_dir, "metadata").select("record_ordinal", "category"), quota_plan(spark, sf_dir), SAMPLES, "record_ordinal")
 
 
+@query(f"SELECT {len(levels.TAXONOMY)}::BIGINT AS categories, {SAMPLES}::BIGINT AS samples, {len(levels.TAXONOMY) * SAMPLES}::BIGINT AS total")
+def plan_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota.plan_total(spark, SAMPLES)
+
+
 @query(f"SELECT name AS category, {SAMPLES}::BIGINT AS samples FROM {_TAXONOMY}")
 def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.dry_run(spark, SAMPLES)
@@ -221,6 +226,18 @@ def rules_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.with_rules(meta, table(spark, sf_dir, "rules")).select("record_ordinal", "rule")
 
 
+@query("SELECT record_ordinal, ladder_id FROM (SELECT record_ordinal, ladder_id, " + ", ".join(f"{c} AS {x}" for x, c in _S.items()) + " FROM metadata_subset) WHERE " + " AND ".join(f"round({hi} - {lo}, 6) >= 0.4::DOUBLE" for lo, hi in _PAIRS))
+def ladders_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ladders whose scores are complete and rise from level to level."""
+    return verify.keep_valid(table(spark, sf_dir, "metadata_subset")).select("record_ordinal", "ladder_id")
+
+
+@query("SELECT record_ordinal, concat_ws(',', " + ", ".join(f"CASE WHEN floor({c} + 0.5) <> {k} THEN '{x}' END" for k, (x, c) in enumerate(_S.items())) + ") AS mismatched FROM metadata_subset")
+def ladder_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels of each ladder whose score rounds to another level."""
+    return verify.mismatched_levels(table(spark, sf_dir, "metadata_subset")).select("record_ordinal", F.array_join("mismatched", ",").alias("mismatched"))
+
+
 @query("SELECT record_ordinal, ladder_id FROM metadata_subset WHERE ladder_id IS NULL OR ladder_id NOT IN (SELECT ladder_id FROM metadata_subset WHERE rung_safe.verdict = 'ambiguous' AND ladder_id IS NOT NULL)")
 def poisoned_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ladders without those whose safe rung was found ambiguous in any delivery."""
@@ -236,13 +253,64 @@ def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.remaining(meta, table(spark, sf_dir, "metadata_subset"), ["ladder_id", "generator_model"]).select("record_ordinal")
 
 
-@query("SELECT record_ordinal, ladder_id, category, generator_model, red_team_model, seed, " + ", ".join(f"rung_{x}.{k} AS {x}_{k}" for x in levels.LEVELS for k in export.KEPT_RUNG) + " FROM metadata_subset")
+_PUBLIC = "SELECT ladder_id, category, generator_model, red_team_model, seed, " + ", ".join(f"rung_{x}.{k} AS {x}_{k}" for x in levels.LEVELS for k in export.KEPT_RUNG) + " FROM metadata_subset"
+
+
+@query(_PUBLIC)
 def export_public(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The public projection, with rungs laid flat."""
-    subset = table(spark, sf_dir, "metadata_subset")
     flat = [F.col(f"rung_{x}.{k}").alias(f"{x}_{k}") for x in levels.LEVELS for k in export.KEPT_RUNG]
-    rungs = [F.struct(*[F.col(f"rung_{x}.{k}").alias(k) for k in export.KEPT_RUNG]).alias(f"rung_{x}") for x in levels.LEVELS]
-    return subset.select("record_ordinal", *export.KEPT, *rungs).select("record_ordinal", *export.KEPT, *flat)
+    return export.public(table(spark, sf_dir, "metadata_subset")).select(*export.KEPT, *flat)
+
+
+@query(_PUBLIC)
+def export_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by way of JSON lines and records of any shape: written, read strictly, projected, laid flat."""
+    path = Staging(spark, "export").base + "/ladders"
+    jsonl.write(table(spark, sf_dir, "metadata_subset"), path)
+    x = export.public_open(jsonl.read_strict(spark, path))
+    top = lambda k: F.try_element_at("record", F.lit(k))
+    kept = [F.try_variant_get(top(k), "$", "bigint" if k == "seed" else "string").alias(k) for k in export.KEPT]
+    return x.select(*kept, *[F.try_variant_get(top(f"rung_{r}"), f"$.{k}", "string").alias(f"{r}_{k}") for r in levels.LEVELS for k in export.KEPT_RUNG])
+
+
+_SEEDS = "SELECT record_ordinal, category, prompt_safe, red_team_model, seed FROM seeds"
+
+
+def _seed_fields(x: DataFrame) -> DataFrame:
+    kinds = {"record_ordinal": "bigint", "category": "string", "prompt_safe": "string", "red_team_model": "string", "seed": "bigint"}
+    return x.select(*[F.try_variant_get("record", f"$.{k}", t).alias(k) for k, t in kinds.items()])
+
+
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "seeds").select("record_ordinal", "category", "prompt_safe", "red_team_model", "seed")
+
+
+@query(_SEEDS)
+def jsonl_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seeds, written as JSON lines and read strictly."""
+    path = Staging(spark, "jsonl").base + "/deep/seeds"
+    jsonl.write(_seeds(spark, sf_dir), path)
+    return _seed_fields(jsonl.read_strict(spark, path))
+
+
+@query(_SEEDS)
+def jsonl_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seeds from a folder that has broken and blank lines as well, and from one that isn't there."""
+    path = Staging(spark, "jsonl").base + "/seeds"
+    jsonl.write(_seeds(spark, sf_dir), path)
+    spark.createDataFrame([('{"broken": ',), ("[1, 2]",), ("7",), ("",), ("  \t",)], "value string").write.mode("append").text(path)
+    return _seed_fields(jsonl.read_tolerant(spark, path).unionByName(jsonl.read_tolerant(spark, path + "-none")))
+
+
+@query(_SEEDS + " UNION ALL " + _SEEDS)
+def jsonl_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seeds, written and appended once more, read under a declared schema."""
+    path = Staging(spark, "jsonl").base + "/seeds"
+    x = _seeds(spark, sf_dir)
+    for append in (False, True):
+        jsonl.write(x, path, append)
+    return jsonl.read_typed(spark, path, x.schema)
 
 
 @query(
@@ -293,6 +361,34 @@ def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "seeds").groupBy(F.col("red_team_model").alias("alias"), levels.resolve_model(F.col("red_team_model")).alias("model")).agg(F.count("*").alias("n"))
 
 
+_CASE = lambda column, models: f"CASE {column} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in models.items()) + f" ELSE {column} END"
+
+
+@query(f"SELECT record_ordinal, ladder_id, {_CASE('generator_model', levels.GENERATORS)} AS generator FROM metadata_subset")
+def generator_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each ladder with the full id of its generator."""
+    return table(spark, sf_dir, "metadata_subset").select("record_ordinal", "ladder_id", levels.resolve_model(F.col("generator_model"), levels.GENERATORS).alias("generator"))
+
+
+@query(f"SELECT category, prompt_safe, {_CASE('red_team_model', levels.MODELS)} AS red_team_model, 7::BIGINT AS seed FROM seeds")
+def seed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts of seeds as the records of a run with seed 7."""
+    return quota.seed_records(table(spark, sf_dir, "seeds"), F.col("red_team_model"), 7, prompt="prompt_safe")
+
+
+@query("SELECT record_ordinal, coalesce(r.rule, 'no rule for ' || coalesce(s.category, '')) AS instruction FROM seeds s LEFT JOIN (SELECT category, min(rule) AS rule FROM rules WHERE level = 'safe' GROUP BY 1) r USING (category)")
+def lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule of each seed's category for safe texts, under the category's exact name; else a default that names the category."""
+    safe = table(spark, sf_dir, "rules").where("level = 'safe'")
+    return judge.lookup(table(spark, sf_dir, "seeds"), "category", safe, "category", "rule", "no rule for %s", "instruction").select("record_ordinal", "instruction")
+
+
+@query("SELECT doc_id, coalesce(nullif(n_chars, 0), 100)::BIGINT AS n FROM documents")
+def falsy_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated lengths of documents; null and zero give the default."""
+    return table(spark, sf_dir, "documents").select("doc_id", identity.or_default(F.col("n_chars"), F.lit(100).cast("long")).alias("n"))
+
+
 @query("SELECT json_extract_string(props, '$.k') AS k, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
@@ -320,13 +416,23 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.join(table(spark, sf_dir, "metadata").select(F.col("prompt_safe").alias("anchor")), "anchor", "left_semi")
 
 
-@query("SELECT 'dedup' AS stage, (SELECT count(*) FROM metadata)::BIGINT AS rows_in, (SELECT count(DISTINCT ladder_id) FROM metadata)::BIGINT AS ladders")
+@query(_DEDUP + "SELECT 'dedup' AS stage, (SELECT count(*) FROM metadata)::BIGINT AS rows_in, count(*)::BIGINT AS rows_out, ((SELECT count(*) FROM metadata) - count(*))::BIGINT AS removed, count(DISTINCT ladder_id)::BIGINT AS ladders FROM kept")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row of a run's figures."""
-    return table(spark, sf_dir, "metadata").agg(F.count("*").alias("rows_in"), F.countDistinct("ladder_id").alias("ladders")).select(F.lit("dedup").alias("stage"), "rows_in", "ladders")
+    """One row of a run's figures, written as a JSON line beside the stage's output and read back."""
+    meta = table(spark, sf_dir, "metadata").select("record_ordinal", *_KEYS, "prompt_safe", "ladder_id")
+    stage = Staging(spark, "run")
+    kept = stage.table(dedup.exact_dedup(meta, _KEYS, F.char_length("prompt_safe"), "record_ordinal"), "stage1")
+    x = dedup.removed(meta, kept).crossJoin(F.broadcast(kept.agg(F.countDistinct("ladder_id").alias("ladders"))))  # one row each
+    x = x.select(F.lit("dedup").alias("stage"), "rows_in", "rows_out", "removed", "ladders")
+    jsonl.write(x.coalesce(1), stage.base + "/summary")
+    return jsonl.read_typed(spark, stage.base + "/summary", x.schema)
 
 
-@query()
+@query(
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"('column', '{x}')" for x in ("audited_at", "broken_rung_pairs", "clip_align_high_risk", "clip_align_low_risk", "clip_align_mid_risk", "clip_align_safe", "cluster_safe_anchor", "ingested_at", "mllm_reasoning", "mllm_rule_alignment", "mllm_rule_level", "mllm_score_high_risk", "mllm_score_low_risk", "mllm_score_mid_risk", "mllm_score_safe", "partial_audit", "record_ordinal", "rule_mismatch_levels", "visual_ladder_valid"))
+    + ", ('rung field', 'source_id'), ('rung field', 'synthetic'), ('rung field', 'verdict')) t(kind, name)"
+)
 def schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns and rung fields that the export leaves out; read from the schema, without a scan."""
     subset = table(spark, sf_dir, "metadata_subset")
@@ -334,14 +440,22 @@ def schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, name string")
 
 
-@query()
+@query("SELECT record_ordinal, least(length(coalesce(prompt_unsafe, '')), 300) / 100.0::DOUBLE AS score FROM metadata")
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all unsafe prompts by the stub scorer, through the batch interface."""
     score = judge.scorer(judge.length_stub)
     return table(spark, sf_dir, "metadata").select("record_ordinal", score(F.col("prompt_unsafe")).alias("score"))
 
 
-@query()
+@query(f"SELECT record_ordinal, CASE least(length(coalesce(prompt_unsafe, '')) // 100, 3) WHEN 0 THEN 'safe' WHEN 1 THEN 'low_risk' WHEN 2 THEN 'mid_risk' ELSE 'high_risk' END AS level, CASE WHEN rule IS NULL THEN 'ambiguous' ELSE 'ok' END AS verdict FROM metadata LEFT JOIN rules r ON {_BARE.format('metadata.category')} = {_BARE.format('r.category')} AND {_NORM.format('target_severity')} = r.level")
+def judge_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level and verdict of all unsafe prompts under their rules, by the stub judge, through the batch interface."""
+    meta = judge.with_rules(table(spark, sf_dir, "metadata"), table(spark, sf_dir, "rules"))
+    verdict = judge.severity_judge(judge.word_stub)(F.col("prompt_unsafe"), F.col("rule"))
+    return meta.select("record_ordinal", verdict.alias("v")).select("record_ordinal", "v.level", "v.verdict")
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events through two incremental runs; the second finds nothing new."""
     stage = Staging(spark, "stream")

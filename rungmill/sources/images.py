@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path): the files below a root, relative to it; contents are not read."""
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path")
-    return files.select(F.regexp_extract("path", r"^(?:\w+:/*)?/?" + base.lstrip("/").replace(".", r"\.") + r"/(.*)$", 1).alias("path")).where("path != ''")
+    return files.select(F.regexp_extract("path", r"^(?:\w+:/*)?/?" + re.escape(base.lstrip("/")) + r"/(.*)$", 1).alias("path")).where("path != ''")
 
 
 def resolve(references: DataFrame, listings: list[DataFrame]) -> DataFrame:
@@ -46,6 +47,7 @@ def copy_missing(resolved: DataFrame, roots: list[str], target: str) -> DataFram
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
         import shutil
+        import uuid
 
         for part in parts:
             done = []
@@ -54,10 +56,20 @@ def copy_missing(resolved: DataFrame, roots: list[str], target: str) -> DataFram
                 fresh = not os.path.exists(to)
                 if fresh:
                     os.makedirs(os.path.dirname(to), exist_ok=True)
-                    shutil.copy2(os.path.realpath(os.path.join(roots[int(root)], path)), f"{to}.{os.getpid()}.part")
-                    os.replace(f"{to}.{os.getpid()}.part", to)
+                    part_file = f"{to}.{uuid.uuid4().hex}.part"
+                    shutil.copy2(os.path.realpath(os.path.join(roots[int(root)], path)), part_file)
+                    os.replace(part_file, to)
                 done.append(fresh)
             yield pd.DataFrame({"image_path": part["image_path"], "copied": done})
 
     files = resolved.where("root is not null").select("image_path", "root").distinct()
     return files.mapInPandas(run, "image_path string, copied boolean")
+
+
+def copy_counts(references: DataFrame, roots: list[str], target: str) -> DataFrame:
+    """One row (copied, missing), one count for each reference: copies what the target lacks; a file already there counts as copied."""
+    resolved = resolve(references, [listing(references.sparkSession, r) for r in roots])
+    done = copy_missing(resolved, roots, target).groupBy("image_path").agg(F.count("*").alias("n"))
+    (n,) = free(references, "n")
+    x = resolved.select("image_path", "root").join(done.withColumnRenamed("n", n), "image_path", "left")
+    return x.agg(F.count_if(F.col(n).isNotNull()).alias("copied"), F.count_if(F.col("root").isNull()).alias("missing"))

@@ -134,3 +134,54 @@ def test_export_declared(spark):
     r = export.public(df).first()
     assert r["rung_safe"].asDict() == {"prompt": "p", "image_path": "i", "explanation": "e"} and r["rung_low_risk"].asDict() == dict.fromkeys(export.KEPT_RUNG)
     assert export.removed_columns(df) == ["secret"] and export.removed_rung_fields(df) == ["verdict"]
+
+
+def test_keep_valid_and_mismatched(spark):
+    nan = float("nan")
+    rows = [(1, 0.0, 1.0, 2.0, 3.0), (2, 0.0, 0.4, 0.8, 1.2), (3, 0.0, 0.3, 2.0, 3.0), (4, None, 1.0, 2.0, 3.0), (5, nan, 1.0, 2.0, 3.0), (6, 0.5, 1.5, 2.0, 3.4)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "id int, mllm_score_safe double, mllm_score_low_risk double, mllm_score_mid_risk double, mllm_score_high_risk double, ok string")
+    kept = verify.keep_valid(df)
+    assert kept.columns == df.columns and sorted(r["id"] for r in kept.collect()) == [1, 2, 6]
+    got = {r["id"]: r["mismatched"] for r in verify.mismatched_levels(df).collect()}
+    assert got == {1: [], 2: ["low_risk", "mid_risk", "high_risk"], 3: ["low_risk"], 4: [], 5: [], 6: ["safe", "low_risk"]}
+    assert verify.keep_valid(df.limit(0)).count() == 0
+
+
+def test_judge_tries_again(spark, tmp_path):
+    flag = str(tmp_path / "failed")
+
+    def once(texts, rules):
+        import os
+
+        if not os.path.exists(flag):
+            open(flag, "w").close()
+            raise ValueError("not now")
+        return judge.word_stub(texts, rules)
+
+    df = spark.createDataFrame([("a" * 150, "r"), (None, None), ("", "r")], "t string, r string").coalesce(1)
+    got = [tuple(r["v"]) for r in df.select(judge.severity_judge(once)("t", "r").alias("v")).collect()]
+    assert got == [("low_risk", "ok"), ("safe", "ambiguous"), ("safe", "ok")]
+
+    def never(texts, rules):
+        raise ValueError("never")
+
+    with pytest.raises(Exception, match="never"):
+        df.select(judge.severity_judge(never, tries=2)("t", "r").alias("v")).collect()
+
+
+def test_lookup(spark):
+    df = spark.createDataFrame([(1, "a", "k0"), (2, "b", "k0"), (3, None, "k0")], "id int, c string, v string")
+    t = spark.createDataFrame([("a", "y"), ("a", "x"), (None, "z")], "c string, text string")
+    got = judge.lookup(df, "c", t, "c", "text", "none for %s", "said")
+    assert got.columns == ["id", "c", "v", "said"] and {r["id"]: r["said"] for r in got.collect()} == {1: "x", 2: "none for b", 3: "none for "}
+    assert {r["said"] for r in judge.lookup(df, "c", t.limit(0), "c", "text", "-%s", "said").collect()} == {"-a", "-b", "-"}
+
+
+def test_components_of_a_long_chain(spark):
+    """Rounds go on until nothing changes."""
+    n = 600
+    order = list(range(n))
+    random.Random(3).shuffle(order)
+    df = spark.createDataFrame(list(zip(order, order[1:], strict=False)) + [(5, 5), (None, 1)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components.components(df).collect()}
+    assert got == dict.fromkeys(range(n), 0)

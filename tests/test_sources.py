@@ -50,3 +50,17 @@ def test_images(spark, tmp_path):
     assert sorted((r["image_path"], r["copied"]) for r in done) == [("c/a.png", True), ("c/b.png", True)]
     assert (tmp_path / "out/c/a.png").read_bytes() == b"r1"
     assert not any(r["copied"] for r in images.copy_missing(resolved, [str(tmp_path / r) for r in ("r1", "r2")], str(tmp_path / "out")).collect())
+
+
+def test_copy_counts(spark, tmp_path):
+    """Counted for each reference; what is already there counts as copied. Signs in a folder's name are no pattern."""
+    roots = [tmp_path / "r+1 (a)", tmp_path / "r2"]
+    for root, names in zip(roots, (["c/a.png"], ["c/a.png", "c/b.png"]), strict=True):
+        for n in names:
+            (root / n).parent.mkdir(parents=True, exist_ok=True)
+            (root / n).write_bytes(root.name.encode())
+    refs = spark.createDataFrame([("c/a.png", 1), ("c/a.png", 1), ("c/b.png", 2), ("no.png", 4), ("", 5), (None, 6), ("../r2/c/a.png", 8)], "image_path string, n int")
+    for _ in range(2):
+        assert images.copy_counts(refs, [str(r) for r in roots], str(tmp_path / "out")).first().asDict() == {"copied": 3, "missing": 2}
+    assert (tmp_path / "out/c/b.png").read_bytes() == b"r2" and not list((tmp_path / "out").rglob("*.part"))
+    assert images.copy_counts(refs.limit(0), [str(r) for r in roots], str(tmp_path / "out")).first().asDict() == {"copied": 0, "missing": 0}
