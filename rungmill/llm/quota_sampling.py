@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from rungmill.functions.text import letters_digits
 from rungmill.plans.staging import Staging
 
-BUCKET_DIGITS = 4  # leading hex digits of a key: 65,536 buckets for each cell
+BUCKET_ROWS = 64  # rows of the largest cell in one bucket of keys, at least; buckets share 1 to MOST_DIGITS leading hex digits of the key
+MOST_DIGITS = 5
 
 
 def largest_remainder(weights: list[Fraction], total: int) -> list[int]:
@@ -90,12 +91,20 @@ def quotas(records: DataFrame, targets: DataFrame) -> DataFrame:
     )
     counts = records.groupBy("category", "generator_model").agg(F.count("*").alias("n"))
     cells = counts.groupBy(letters_digits(F.col("category")).alias("cat"), letters_digits(F.col("generator_model")).alias("gen")).agg(F.sum("n").alias("available"))
-    whole = records.agg(F.count("*").alias("n_rows"))
+    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
     t = t.join(cells, ["cat", "gen"], "left").fillna(0, ["available"]).crossJoin(F.broadcast(whole))  # one row
     t = t.withColumns({"sample_rows_per_mille": F.coalesce("sample_rows_per_mille", F.lit(0)), "min_rows": F.coalesce("min_rows", F.lit(0))})
     return t.groupBy("plan_id").applyInPandas(_plan_quotas, _QUOTAS)
 
 
+def _digits(available: int) -> int:
+    """Leading digits that tell buckets apart: no more than leave BUCKET_ROWS rows to a bucket, so that counting them combines rows."""
+    d = 1
+    while d < MOST_DIGITS and BUCKET_ROWS * 16 ** (d + 1) <= available:
+        d += 1
+    return d
+
+
 def _quota_table(records: DataFrame, targets: DataFrame, stage: Staging) -> DataFrame:
     return stage.table(quotas(records, targets).coalesce(1), "quotas")
 
@@ -107,11 +116,13 @@ def sample(records: DataFrame, targets: DataFrame, ordinal: str = "record_ordina
     sample. Ordinals are taken to be unique.
     """
     stage = Staging(records.sparkSession, "sample")
-    q = _quota_table(records, targets, stage).where("drawn > 0").select("plan_id", "cat", "gen", "category", "generator_model", "drawn")
+    q = _quota_table(records, targets, stage)
+    digits = _digits(q.agg(F.max("available")).first()[0] or 0)
+    q = q.where("drawn > 0").select("plan_id", "cat", "gen", "category", "generator_model", "drawn")
     r = records.select(F.col(ordinal).alias("id"), letters_digits(F.col("category")).alias("cat"), letters_digits(F.col("generator_model")).alias("gen"))
     r = r.join(q, ["cat", "gen"])
     key = F.md5(F.concat_ws("|", "plan_id", F.lit(str(seed)), F.col("id").cast("string")).cast("binary"))
-    r = r.select("plan_id", "cat", "gen", "category", "generator_model", "drawn", "id", key.alias("key")).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    r = r.select("plan_id", "cat", "gen", "category", "generator_model", "drawn", "id", key.alias("key")).withColumn("bucket", F.substring("key", 1, digits))
     cell = ["plan_id", "cat", "gen"]
     hist = r.groupBy(*cell, "bucket").agg(F.count("*").alias("n"), F.first("drawn").alias("drawn"))
     upto = F.sum("n").over(W.partitionBy(*cell).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
@@ -154,5 +165,18 @@ def p5_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotas(*_tables(spark, sf_dir)).drop("cat", "gen")
 
 
-QUERIES = {"p5_sample": p5_sample, "p5_shortfalls": p5_shortfalls, "p5_quotas": p5_quotas}
-ORACLE: dict[str, str] = {}
+def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """plan_id, n_rows: the size of each plan's sample."""
+    return p5_sample(spark, sf_dir).groupBy("plan_id").agg(F.count("*").alias("n_rows"))
+
+
+_BARE = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+QUERIES = {"p5_sample": p5_sample, "p5_shortfalls": p5_shortfalls, "p5_quotas": p5_quotas, "p5_totals": p5_totals}
+#: Sizes alone; quotas between floors and caps are held against brute force in tests.
+ORACLE = {
+    "p5_totals": f"""
+WITH c AS (SELECT {_BARE.format("category")} AS cat, {_BARE.format("generator_model")} AS gen, count(*) AS n FROM metadata WHERE category IS NOT NULL AND generator_model IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT plan_id, {_BARE.format("category")} AS cat, {_BARE.format("generator_model")} AS gen, max(sample_rows_per_mille) AS s FROM sample_targets GROUP BY 1, 2, 3)
+SELECT plan_id, least(max((SELECT count(*) FROM metadata) * s // 1000), sum(coalesce(n, 0)))::BIGINT AS n_rows FROM t LEFT JOIN c USING (cat, gen) GROUP BY plan_id
+""",
+}
