@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 CHUNKS = 64
-LEAST_TASKS = 32
+FAN = 32  # partial arrays that one task merges, at least
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,12 +40,11 @@ def as_lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.A
 def gather(df: DataFrame, count, size: int, dtype, finish, merge=np.add) -> np.ndarray:
     """An array of fixed size, merged over all partitions. count: batches -> array of one partition; finish: one merged chunk -> what the driver keeps.
 
-    Partitions are joined to at most twice as many tasks as there are cores (or LEAST_TASKS), so the arrays written don't grow with the
-    table. They are merged chunk by chunk, beyond LEAST_TASKS in two steps, so no task holds more than that many partial chunks, or
-    the square root of their number.
+    Partitions are joined to one task for each core, so the arrays written don't grow with the table. They are merged chunk by chunk,
+    beyond FAN of them in two steps, so no task holds more than FAN partial chunks, or the square root of their number.
     """
-    most = max(LEAST_TASKS, 2 * df.sparkSession.sparkContext.defaultParallelism)
-    fan = max(LEAST_TASKS, math.isqrt(most - 1) + 1)
+    most = df.sparkSession.sparkContext.defaultParallelism
+    fan = max(FAN, math.isqrt(most - 1) + 1 if most > 1 else 1)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() // fan
@@ -69,8 +68,10 @@ def gather(df: DataFrame, count, size: int, dtype, finish, merge=np.add) -> np.n
         some, kind = some.groupBy("chunk", "part").applyInArrow(merged(dtype, False), schema), np.uint64
     done = some.groupBy("chunk").applyInArrow(merged(kind, True), schema).collect()
     empty = finish(np.zeros(size // CHUNKS, np.uint64))
-    bodies = {chunk: np.frombuffer(zlib.decompress(bytes(body)), empty.dtype) for chunk, body in done}
-    return np.concatenate([bodies.get(k, empty) for k in range(CHUNKS)])
+    out = np.tile(empty, CHUNKS)
+    for chunk, body in done:
+        out[chunk * len(empty) : (chunk + 1) * len(empty)] = np.frombuffer(zlib.decompress(bytes(body)), empty.dtype)
+    return out
 
 
 def pack(x: np.ndarray) -> np.ndarray:

@@ -17,8 +17,8 @@ def test_counts_beyond_32_bits_over_many_partitions(spark, monkeypatch):
     """No task holds more partial chunks than it may, and nothing wraps."""
     df = spark.range(1000, numPartitions=1000).select(F.col("id").alias("k"), F.lit(1 << 30).cast("long").alias("n"))
     want = np.bincount(np.arange(1000) % 128, minlength=128).astype(np.uint64) << np.uint64(30)
-    for least in (32, 4):
-        monkeypatch.setattr(sketches, "LEAST_TASKS", least)
+    for fan in (32, 2):  # merged in one step, then in two
+        monkeypatch.setattr(sketches, "FAN", fan)
         assert (sketches.gather(df, _counts, 128, np.uint64, lambda x: x) == want).all() and int(want.max()) > 1 << 32
 
 
