@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rungmill.functions.levels import norm_category, norm_level
+from rungmill.functions.levels import LEVELS, norm_category, norm_level
 from rungmill.functions.names import free
 
 
@@ -64,8 +64,6 @@ def severity_judge(function: Callable[[pd.Series, pd.Series], pd.DataFrame], tri
 
 def word_stub(texts: pd.Series, rules: pd.Series) -> pd.DataFrame:
     """A harmless stand-in for a judge: the level rises with the length of the text; without a rule the verdict is ambiguous."""
-    from rungmill.functions.levels import LEVELS
-
     rank = (texts.fillna("").str.len() // 100).clip(upper=3).astype(int)
     return pd.DataFrame({"level": [LEVELS[k] for k in rank], "verdict": rules.notna().map({True: "ok", False: "ambiguous"})})
 
