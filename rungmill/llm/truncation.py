@@ -36,6 +36,7 @@ LAST_WORD_RATE = 0.001  # nor with a last word of a lower rate, whatever stands
 LAST_SHARE = 0.0015  # names and numbers hardly ever end in a way with a lower share
 SPIKE, SPIKE_LEAST, LONGER = 6.0, 5, 0.002  # a limit: times the texts of the lengths below it, texts at least, share of longer texts at most
 DIFFERENT_LEAST, UNFINISHED = 20, 0.9  # a limit below longer texts: different texts at least, and the share of them that don't end a sentence
+ECHO = 12  # lengths this near to a limit of the same source with more texts are taken for that limit in another encoding
 #: Marks that end a sentence or a quotation (fixed values).
 FINAL = r"[.!?。！？…]['\"”’»)\]]*\s*$"
 
@@ -64,8 +65,8 @@ def lengths(text: Column) -> dict[str, Column]:
 def limits(texts: DataFrame) -> DataFrame:
     """(tbl, source, encoding, limit, at_limit): the hidden limits of each source, with the number of its texts there.
 
-    texts: tbl, source, text. Null sources are one source. Empty texts show no limit. Of the encodings that show a limit at one length the one
-    with most texts is given.
+    texts: tbl, source, text. Null sources are one source. Empty texts show no limit. Of lengths less than
+    ECHO + 1 apart, in whatever encodings, the one with most texts is given.
     """
     names = {k: c for k, c in lengths(F.col("text")).items()}
     unfinished = F.when(~F.col("text").rlike(FINAL), 1).otherwise(0)
@@ -87,8 +88,10 @@ def limits(texts: DataFrame) -> DataFrame:
     found = counts.where(spike | inside).withColumn("last", spike)
     best = W.partitionBy("tbl", "source", "last").orderBy(F.desc("at_limit"), order, F.desc("n"))
     found = found.withColumn("place", F.row_number().over(best)).where("not last or place = 1")
-    same = W.partitionBy("tbl", "source", "n").orderBy(F.desc("last"), F.desc("at_limit"), order)
-    return found.withColumn("rank", F.row_number().over(same)).where("rank = 1").select("tbl", "source", "encoding", F.col("n").alias("limit"), "at_limit")
+    # Texts cut by one encoding have nearly that length in others too; the length with most texts explains those around it.
+    mine = F.struct(F.col("last").cast("int").alias("a"), F.col("at_limit").alias("b"), (-order).alias("c"), F.col("n").alias("d"))
+    around = W.partitionBy("tbl", "source").orderBy("n").rangeBetween(-ECHO, ECHO)
+    return found.withColumns({"mine": mine, "best": F.max(mine).over(around)}).where("mine = best").select("tbl", "source", "encoding", F.col("n").alias("limit"), "at_limit")
 
 
 _TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}\s_]"
@@ -294,7 +297,8 @@ w AS (SELECT *, coalesce(sum(at_limit) OVER (z RANGE BETWEEN 10 PRECEDING AND 1
 f AS (SELECT *, at_limit >= 5 AND at_limit * 10 >= 6 * below AND every - upto <= 0.002 * every AND n > 1 AND at_limit < 0.9 * every AS last FROM w
       WHERE (at_limit >= 5 AND at_limit * 10 >= 6 * below AND every - upto <= 0.002 * every AND n > 1 AND at_limit < 0.9 * every) OR (different >= 20 AND different * 10 >= 6 * near AND unfinished >= 0.9 * different AND n > 1)),
 p AS (SELECT *, row_number() OVER (PARTITION BY table_name, source, last ORDER BY at_limit DESC, place, n DESC) AS first FROM f),
-r AS (SELECT *, row_number() OVER (PARTITION BY table_name, source, n ORDER BY last DESC, at_limit DESC, place) AS rank FROM p WHERE NOT last OR first = 1)
-SELECT table_name, source, encoding, n AS "limit", at_limit FROM r WHERE rank = 1
+r AS (SELECT * FROM p WHERE NOT last OR first = 1)
+SELECT table_name, source, encoding, n AS "limit", at_limit FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.table_name = r.table_name AND o.source IS NOT DISTINCT FROM r.source AND abs(o.n - r.n) <= 12
+    AND (o.last::INT, o.at_limit, -o.place, o.n) > (r.last::INT, r.at_limit, -r.place, r.n))
 """,
 }
